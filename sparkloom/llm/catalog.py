@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import tokens
+from sparkloom.llm import neighbours, packing, splitting, tokens
 from sparkloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,30 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+@query()
+def p1_found(spark, d):
+    """Pairs of usable vectors of one model of which one is among the ten most similar of the other."""
+    return neighbours.pairs(neighbours.nearest(neighbours.usable(table(spark, d, "vectors"))))
+
+
+@query()
+def p1_nearest(spark, d):
+    """The ten most similar vectors of each usable vector, with their distance."""
+    return neighbours.nearest(neighbours.usable(table(spark, d, "vectors")))
+
+
+@query("SELECT DISTINCT chunk_no FROM chunks WHERE length(content) > 6000")
+def p2_found(spark, d):
+    """The chunks that are cut, as the operator cuts them."""
+    return splitting.split_chunks(table(spark, d, "chunks")).select("chunk_no").distinct()
+
+
+@query()
+def p2_pieces(spark, d):
+    """The pieces of every chunk longer than 6,000 characters."""
+    return splitting.split_chunks(table(spark, d, "chunks"))
+
+
 @query()
 def p7_ids(spark, d):
     """The ids of every document under byte_bpe_50k."""
@@ -47,3 +71,9 @@ def p7_decoded(spark, d):
     docs = table(spark, d, "documents")
     back = tokens.decode_corpus(tokens.encode_corpus(docs)).withColumnRenamed("text", "back")
     return docs.join(back, "doc_id").select("doc_id", (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
+
+
+@query()
+def p8_containers(spark, d):
+    """The place of every document in containers of 2,048 tokens of byte_bpe_50k."""
+    return packing.pack(tokens.count_tokens(table(spark, d, "documents")))
