@@ -52,3 +52,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """Tasks that run at once, at least one."""
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over all cores, if the scan alone has fewer partitions than there are; else as they are, without a shuffle."""
+    n = parallelism(df.sparkSession)
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(2 * n, *keys) if keys else df.repartition(2 * n)
