@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import neighbours, packing, splitting, tokens
+from sparkloom.llm import neighbours, packing, splitting, tokens, validity
 from sparkloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,18 @@ def p2_pieces(spark, d):
     return splitting.split_chunks(table(spark, d, "chunks"))
 
 
+@query()
+def p3_found(spark, d):
+    """The files that the grammar of their language rejects."""
+    return validity.invalid(table(spark, d, "sources")).select("repo_id", "file_path").distinct()
+
+
+@query()
+def p3_rates(spark, d):
+    """Rates of invalid files by repository and language."""
+    return validity.rates(table(spark, d, "sources"), table(spark, d, "file_docs"))
+
+
 @query()
 def p7_ids(spark, d):
     """The ids of every document under byte_bpe_50k."""

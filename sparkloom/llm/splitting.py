@@ -110,8 +110,8 @@ def split_chunks(chunks: DataFrame, limit: int = 6000, overlap: int = 400) -> Da
     """The pieces of every chunk whose content is longer than limit, with the columns of a chunk.
 
     A chunk's rows are told apart by chunk_no; of several the one ingested last counts, null content never. start_line
-    and end_line are lines of the file: a context header is the first line of content but no line of the file. Null start_line
-    gives null lines. parent_symbol is the chunk's own, else the name declared last before the piece, else the first of symbol_names.
+    and end_line are lines of the file: a context header is the first line of content but no line of the file. Null start_line gives null lines. parent_symbol is the chunk's own, else the name declared last before the piece, else the first of symbol_names,
+    else the stem of the file's name: data without declarations belongs to the file.
     """
     long = chunks.where(F.length("content") > limit)
     picked = ["content", "start_line", "parent_symbol", "symbol_names", "context_header", "repo_id", "file_path", "language", "id"]
@@ -121,5 +121,6 @@ def split_chunks(chunks: DataFrame, limit: int = 6000, overlap: int = 400) -> Da
     start = F.col("start_line") + F.greatest(F.col("lines_before") - headed, F.lit(0))
     lines = F.col("lines_in") - F.when(F.col("content").endswith("\n"), 1).otherwise(0)
     end = F.greatest(start, F.col("start_line") + F.col("lines_before") - headed + lines)
-    parent = F.coalesce("parent_symbol", "symbol", F.get("symbol_names", F.lit(0)))
+    stem = F.regexp_extract("file_path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    parent = F.coalesce("parent_symbol", "symbol", F.get("symbol_names", F.lit(0)), stem)
     return cut.join(one.drop("content"), "chunk_no").select("chunk_no", "piece_no", "n_pieces", F.concat_ws("#", "id", "piece_no").alias("id"), "repo_id", "file_path", "language", start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), "start", "end", "content", F.lit(True).alias("is_partial"), parent.alias("parent_symbol"), F.greatest(F.lit(1), F.floor(F.length("content") / 4)).cast("int").alias("token_estimate"))
