@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import neighbours, packing, splitting, tokens, validity
+from sparkloom.llm import neighbours, packing, secrets, splitting, tokens, validity
 from sparkloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,25 @@ def p3_rates(spark, d):
     return validity.rates(table(spark, d, "sources"), table(spark, d, "file_docs"))
 
 
+@query()
+def p5_found(spark, d):
+    """The lines of files on which the value of a credential begins."""
+    return secrets.credentials(table(spark, d, "chunks")).where("line_no IS NOT NULL").select("repo_id", "file_path", "line_no").distinct()
+
+
+@query()
+def p5_redacted(spark, d):
+    """The contents that hold credentials, with their values masked."""
+    chunks = table(spark, d, "chunks")
+    return secrets.redact(chunks, secrets.credentials(chunks))
+
+
+@query()
+def p5_report(spark, d):
+    """Files with credentials per repository beside the files left out before."""
+    return secrets.report(secrets.credentials(table(spark, d, "chunks")), table(spark, d, "run_stats"))
+
+
 @query()
 def p7_ids(spark, d):
     """The ids of every document under byte_bpe_50k."""
