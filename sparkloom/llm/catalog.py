@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import neighbours, packing, secrets, splitting, tokens, validity
+from sparkloom.llm import licenses, neighbours, packing, secrets, splitting, tokens, validity
 from sparkloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,12 @@ def p3_rates(spark, d):
     return validity.rates(table(spark, d, "sources"), table(spark, d, "file_docs"))
 
 
+@query()
+def p4_found(spark, d):
+    """The licence of every code file and repository."""
+    return licenses.licenses(table(spark, d, "sources"), table(spark, d, "repos"), table(spark, d, "license_texts"))
+
+
 @query()
 def p5_found(spark, d):
     """The lines of files on which the value of a credential begins."""
