@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import licenses, neighbours, packing, secrets, splitting, tokens, validity
+from sparkloom.llm import handwritten, licenses, neighbours, packing, secrets, splitting, tokens, validity
 from sparkloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,18 @@ def p5_report(spark, d):
     return secrets.report(secrets.credentials(table(spark, d, "chunks")), table(spark, d, "run_stats"))
 
 
+@query()
+def p6_found(spark, d):
+    """The files of each repository that nobody there wrote by hand."""
+    return handwritten.not_by_hand(table(spark, d, "sources"), table(spark, d, "upstream_files")).select("repo_id", "file_path")
+
+
+@query()
+def p6_kinds(spark, d):
+    """The same files with what they are."""
+    return handwritten.not_by_hand(table(spark, d, "sources"), table(spark, d, "upstream_files"))
+
+
 @query()
 def p7_ids(spark, d):
     """The ids of every document under byte_bpe_50k."""
