@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import handwritten, licenses, neighbours, packing, secrets, splitting, tokens, validity
+from sparkloom.llm import handwritten, licenses, neighbours, packing, secrets, splitting, tokens, truncation, validity
 from sparkloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,16 @@ def p7_decoded(spark, d):
 def p8_containers(spark, d):
     """The place of every document in containers of 2,048 tokens of byte_bpe_50k."""
     return packing.pack(tokens.count_tokens(table(spark, d, "documents")))
+
+
+@query()
+def p9_found(spark, d):
+    """The documents whose text lost its end."""
+    return truncation.truncated(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+@query()
+def p9_rates(spark, d):
+    """The share of such documents per source."""
+    docs = table(spark, d, "documents")
+    return truncation.rates(docs, truncation.truncated(docs))
