@@ -22,11 +22,17 @@ from sparkloom.session import cut_lineage, spread
 
 #: Longest context, in folded characters.
 DEPTH = 7
+#: Lengths of contexts of raw characters, which tell a word that was cut inside.
+RAW = (6, 8, 12, 16)
+#: A filter of so many bits lets only contexts through that stand before the end of some text; it saves work and drops none of these.
+FILTER = 1 << 22
 #: A word is a phrase word if it has fewer different neighbours on one side; kept are words in at least one in WORDS places.
 NEIGHBOURS, WORDS, LEAST = 12, 200_000, 20
 #: Lengths within SPREAD of a length tell how often it is expected; a pile is at least PILE texts and FACTOR times that.
 SPREAD, PILE, FACTOR = 30, 5, 6.0
 HOT_PARTS = 10_000
+#: No source is taken to cut fewer texts than this; a text is reported from this probability.
+LEAST_PRIOR, THRESHOLD = 0.02, 0.2
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]|_|\n+")
 _MARK = re.compile(r"\s*(?:…|\.\.\.)?\s*(?:[\[(<{]\s*(?:truncated|cut(?: off)?|more|continued|cont\.?|snip(?:ped)?|shortened|abgeschnitten|gekürzt|tronqué|cortado|…|\.\.\.)[^\])>}\n]{0,20}[\])>}])?\s*$")
@@ -103,97 +109,132 @@ def _crc(s: str) -> int:
     return zlib.crc32(s.encode())
 
 
-def contexts(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes by depth and place, kind of what follows: 0 more, 1 line end, 2 text end; last place of each text)."""
-    pad = [1] * DEPTH
-    flat = np.array([x for t in texts for x in (*pad, *t)], np.uint64) if texts else np.zeros(0, np.uint64)
-    size = np.array([len(t) + DEPTH for t in texts], np.int64)
+def contexts(texts: list, depths: tuple[int, ...], salt: int) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]:
+    """(depth -> hash of the context that ends at each place; what follows: -1 padding, 0 more, 1 line end, 2 text end; last place of each text)."""
+    deepest = max(depths)
+    pad = np.full(deepest, 1, np.uint64)
+    parts = [x for t in texts for x in (pad, np.asarray(t, np.uint64))]
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    size = np.array([len(t) + deepest for t in texts], np.int64)
     last = np.cumsum(size) - 1
     follow = np.zeros(len(flat), np.int8)
     follow[:-1][flat[1:] == 2] = 1
     follow[last] = 2
+    follow[((last - size + 1)[:, None] + np.arange(deepest)).ravel()] = -1
+    out = {}
     with np.errstate(over="ignore"):
-        mixed = (flat + np.uint64(1)) * _P
+        mixed = (flat + np.uint64(salt)) * _P
         mixed ^= mixed >> np.uint64(29)
-        hashes = np.zeros((DEPTH, len(flat)), np.uint64)
         h = np.zeros(len(flat), np.uint64)
-        for q in range(DEPTH):
-            before = np.concatenate([np.zeros(q, np.uint64), mixed[: len(mixed) - q]])
-            h = (h ^ before) * _P + np.uint64(q + 1)
+        for q in range(deepest):
+            h[q:] ^= mixed[: len(mixed) - q]
+            h *= _P
             h ^= h >> np.uint64(32)
-            hashes[q] = h
-    inside = np.ones(len(flat), bool)
-    for i in range(DEPTH):
-        inside[last - size + 1 + i] = False
-    follow[~inside] = -1
-    return hashes, follow, last
+            if q + 1 in depths:
+                out[q + 1] = h + np.uint64(q)
+    return out, follow, last
+
+
+def _raw(text: str) -> np.ndarray:
+    """Code points, digits as 0 and line ends as 2."""
+    x = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    x = np.where((x >= 48) & (x < 58), 48, x)
+    return np.where(x == 10, 2, x).astype(np.uint64)
 
 
 def _clean(text: str) -> str:
     return text.replace("\r\n", "\n").rstrip()
 
 
-def ngrams(docs: DataFrame, text: str, words: dict[str, int]) -> DataFrame:
+def ngrams(docs: DataFrame, text: str, words: dict[str, int], ends: DataFrame) -> DataFrame:
     """(context, n, lines, ends) of each context that stands before the end of a text: its places, and those before a line's and a text's end."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    bits = np.zeros(FILTER // 64, np.uint64)
+    # The hash as an unsigned number modulo FILTER, a power of two, is its lowest bits.
+    for r in ends.selectExpr(f"shiftright(context & {FILTER - 1}, 6) AS w", "shiftleft(1L, CAST(context & 63 AS INT)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # at most FILTER / 64 rows
+        bits[r["w"]] = np.uint64(r["b"] & 0xFFFFFFFFFFFFFFFF)
+    passed = np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+    shared = docs.sparkSession.sparkContext.broadcast((words, passed))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold = Folding(shared.value)
+        words_, passed_ = shared.value
+        fold = Folding(words_)
         for batch in batches:
-            part: list[list[int]] = []
-            size = 0
-            for i, t in enumerate(batch["t"]):
-                f = fold(_clean(t))
-                if f:
-                    part.append(f)
-                    size += len(f)
-                if part and (size > 400_000 or i == len(batch) - 1):
-                    hashes, follow, _ = contexts(part)
-                    own = follow >= 0
-                    kinds = follow[own]
-                    for q in range(DEPTH):
-                        h, at = np.unique(hashes[q][own], return_inverse=True)
-                        yield pd.DataFrame({"context": h.view(np.int64), "n": np.bincount(at), "lines": np.bincount(at, kinds == 1, len(h)).astype(np.int64), "ends": np.bincount(at, kinds == 2, len(h)).astype(np.int64)})
-                    part, size = [], 0
+            texts = [_clean(t) for t in batch["t"]]
+            lo = 0
+            while lo < len(texts):
+                hi, size = lo, 0
+                while hi < len(texts) and size < 300_000:
+                    size += len(texts[hi])
+                    hi += 1
+                part = texts[lo:hi]
+                lo = hi
+                for seqs, depths, salt in (([fold(t) for t in part], tuple(range(1, DEPTH + 1)), 1), ([_raw(t) for t in part], RAW, 77)):
+                    seqs = [x for x in seqs if len(x)]
+                    if not seqs:
+                        continue
+                    hashes, follow, _ = contexts(seqs, depths, salt)
+                    for h in hashes.values():
+                        own = (follow >= 0) & passed_[h % np.uint64(FILTER)]
+                        kinds = follow[own]
+                        u, at = np.unique(h[own], return_inverse=True)
+                        yield pd.DataFrame({"context": u.view(np.int64), "n": np.bincount(at, minlength=len(u)), "lines": np.bincount(at, kinds == 1, len(u)).astype(np.int64), "ends": np.bincount(at, kinds == 2, len(u)).astype(np.int64)})
 
     rows = docs.select(F.col(text).alias("t")).mapInPandas(count, "context long, n long, lines long, ends long")
     return rows.groupBy("context").agg(F.sum("n").alias("n"), F.sum("lines").alias("lines"), F.sum("ends").alias("ends"))
 
 
 def _ends(docs: DataFrame, key: str, text: str, words: dict[str, int]) -> DataFrame:
-    """(key, part, depth, context, marked, broken, fence): the contexts before the end of each text; part 1 is the text without a mark at its end."""
+    """(key, part, depth, context, marked, broken, fence, inside): the contexts before the end of each text; part 1 is the text without a mark at its end.
+
+    Depths of raw characters are counted from 100. inside: the last word is unknown or very short, so the cut may be inside a word.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fold = Folding(shared.value)
+        words_ = shared.value
+        fold = Folding(words_)
         for b in batches:
             rows = []
             for k, t in zip(b["_k"], b["t"]):
                 whole = _clean(t)
                 broken = whole.endswith("�")
-                fence = len(re.findall(r"(?m)^[ \t]*```", whole)) % 2 == 1
+                fence = len(_FENCE.findall(whole)) % 2 == 1
                 bare = _MARK.sub("", whole)
                 for part, x in enumerate((whole, bare) if bare != whole else (whole,)):
-                    tail = fold(x[-4000:] if len(x) > 4000 else x)[-DEPTH * 3 :]  # only the last characters make the last contexts
+                    # The deepest context has DEPTH folded characters; a run of 4,000 characters without as many is folded whole.
+                    tail = fold(x[-4000:])
+                    if len(tail) < DEPTH:
+                        tail = fold(x)
                     if not tail:
                         continue
-                    hashes, _, last = contexts([tail])
-                    rows += [(k, part, q + 1, int(hashes[q].view(np.int64)[last[0]]), bare != whole, broken, fence) for q in range(DEPTH)]
-            yield pd.DataFrame(rows, columns=["_k", "part", "depth", "context", "marked", "broken", "fence"])
+                    m = _LAST_WORD.search(x)
+                    inside = bool(m) and (len(m[0]) <= 2 or words_.get(m[0].lower()) is None)
+                    state = (bare != whole, broken, fence, inside)
+                    for seq, depths, salt, more in ((tail[-DEPTH:] if len(tail) >= DEPTH else tail, tuple(range(1, DEPTH + 1)), 1, 0), (_raw(x[-max(RAW) :]), RAW, 77, 100)):
+                        hashes, _, last = contexts([seq], depths, salt)
+                        rows += [(k, part, more + q, int(h.view(np.int64)[last[0]]), *state) for q, h in hashes.items()]
+            yield pd.DataFrame(rows, columns=["_k", "part", "depth", "context", "marked", "broken", "fence", "inside"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("_k"), F.col(text).alias("t")).mapInPandas(find, f"_k {kind}, part int, depth int, context long, marked boolean, broken boolean, fence boolean")
+    return docs.select(F.col(key).alias("_k"), F.col(text).alias("t")).mapInPandas(find, f"_k {kind}, part int, depth int, context long, marked boolean, broken boolean, fence boolean, inside boolean")
+
+
+_FENCE = re.compile(r"(?m)^[ \t]*```")
+_LAST_WORD = re.compile(r"[^\W\d_]+$")
 
 
 def piles(docs: DataFrame) -> DataFrame:
     """(source, length, unit, odds) of the lengths in characters or bytes at which texts of a source pile up."""
     out = None
     for unit in ("chars", "bytes"):
-        counts = docs.groupBy("source", F.col(unit).alias("length")).agg(F.count("*").alias("c"))
+        # Copies of one text are no pile.
+        counts = docs.select("source", F.col(unit).alias("length"), "same").distinct().groupBy("source", "length").agg(F.count("*").alias("c"))
         near = Window.partitionBy("source").orderBy("length").rangeBetween(-SPREAD, SPREAD)
         # Long texts are rare, so what is near a length is few rows; the source's lengths, not its texts, are in one window.
         near_by = counts.withColumn("e", (F.sum("c").over(near) - F.col("c")) / (2 * SPREAD)).withColumn("e", F.greatest("e", F.lit(0.25)))
-        own = near_by.where((F.col("c") >= PILE) & (F.col("c") >= FACTOR * F.col("e")) & (F.col("length") >= 64)).select("source", "length", F.lit(unit).alias("unit"), (F.col("c") / F.col("e") - 1).alias("odds"))
+        beyond = Window.partitionBy("source").orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        near_by = near_by.withColumn("longer", F.coalesce(F.sum("c").over(beyond), F.lit(0)))
+        own = near_by.where((F.col("longer") <= 0.2 * F.col("c")) & (F.col("c") >= PILE) & (F.col("c") >= FACTOR * F.col("e")) & (F.col("length") >= 64)).select("source", "length", F.lit(unit).alias("unit"), (F.col("c") / F.col("e") - 1).alias("odds"))
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -207,41 +248,48 @@ def scored(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rows = df.where(F.col(text).rlike(r"\S")).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source"), F.lower(F.coalesce(F.col(lang), F.lit("und"))).alias("lang"))
     rows = spread(rows)
     words = vocabulary(rows, "text")
-    counts = cut_lineage(ngrams(rows, "text", words).where("ends > 0"))
+    ends = cut_lineage(_ends(rows, "key", "text", words))
+    counts = cut_lineage(ngrams(rows, "text", words, ends).where("ends > 0"))
     shape = rows.select("key", "source", "lang", F.xxhash64("text").alias("same"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
     copies = shape.groupBy("same").agg(F.count("*").alias("copies"))
-    ends = _ends(rows, "key", "text", words)
     texts = rows.count()
     hot = F.broadcast(counts.where(F.col("ends") * HOT_PARTS >= F.lit(texts)))  # at most DEPTH * HOT_PARTS contexts
     marked = ends.join(hot, "context", "left")
     cold = marked.where("n IS NULL").drop("n", "lines", "ends").join(counts.where(F.col("ends") * HOT_PARTS < F.lit(texts)), "context", "left")
     looked = marked.where("n IS NOT NULL").unionByName(cold.select(marked.columns))
-    per = looked.groupBy("_k", "part").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "n", "lines", "ends"))).alias("all"), F.first("marked").alias("marked"), F.first("broken").alias("broken"), F.first("fence").alias("fence"))
+    per = looked.groupBy("_k", "part").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), "n", "lines", "ends"))).alias("all"), *(F.first(x).alias(x) for x in ("marked", "broken", "fence", "inside")))
     per = per.join(shape, F.col("_k") == F.col("key")).join(copies, "same")
-    # The deepest context that stands in at least five places besides the text's own.
-    seen = F.filter("all", lambda x: x["n"] - F.col("copies") >= 5)
-    best = F.coalesce(F.get(seen, F.lit(0)), F.element_at("all", -1))
-    per = per.withColumn("b", best)
-    own = F.when(F.col("part") == 0, F.col("copies")).otherwise(0)
-    here = F.greatest(F.coalesce(F.col("b.n"), F.lit(0)) - own, F.lit(0)) + 0.5
-    ended = F.greatest(F.coalesce(F.col("b.ends"), F.lit(0)) - own, F.lit(0)) + F.coalesce(F.col("b.lines"), F.lit(0)) * F.lit(0.05) + 0.02
-    places = _places(rows)
-    per = per.withColumn("r", (here / F.lit(float(max(1, places)))) / (ended / F.lit(float(max(1, texts)))))
-    one = per.groupBy("key").agg(F.first("source").alias("source"), F.first("lang").alias("lang"), F.first("chars").alias("chars"), F.first("bytes").alias("bytes"), F.max("marked").alias("marked"), F.max("broken").alias("broken"), F.max("fence").alias("fence"),
-        F.max(F.when(F.col("part") == 0, F.col("r"))).alias("whole"), F.max(F.when(F.col("part") == 1, F.col("r"))).alias("bare"), F.max(F.when(F.col("part") == 0, F.when(F.col("b.d") <= -4, F.col("b.ends") - F.col("copies")))).alias("usual"))
+    places, letters = _places(rows)
+
+    def ratio_of(b, of: int):
+        """How much likelier the context is before a random cut than before an end; the text's own end and its copies' do not count."""
+        own = F.when(F.col("part") == 0, F.col("copies")).otherwise(0)
+        here = F.greatest(F.coalesce(b["n"], F.lit(0)) - own, F.lit(0)) + 0.5
+        ended = F.greatest(F.coalesce(b["ends"], F.lit(0)) - own, F.lit(0)) + F.coalesce(b["lines"], F.lit(0)) * F.lit(0.05) + F.lit(0.5 * texts / max(1, of))  # as one place in two would have by chance
+        return (here / F.lit(float(max(1, of)))) / (ended / F.lit(float(max(1, texts))))
+
+    # The deepest context that stands in at least five places besides the text's own; of folded and of raw characters.
+    folded, raw = F.filter("all", lambda x: x["d"] > -100), F.filter("all", lambda x: x["d"] <= -100)
+    known = lambda a: F.get(F.filter(a, lambda x: x["n"] - F.col("copies") >= 5), F.lit(0))
+    per = per.withColumn("b", F.coalesce(known(folded), F.element_at(folded, -1))).withColumn("w", known(raw))
+    inner = F.when(F.col("inside") & F.col("w").isNotNull(), ratio_of(F.col("w"), letters))
+    per = per.withColumn("r", F.coalesce(inner, ratio_of(F.col("b"), places)))  # folding an unknown word says less than its letters
+    one = per.groupBy("key").agg(*(F.first(x).alias(x) for x in ("source", "lang", "chars", "bytes")), *(F.max(x).alias(x) for x in ("marked", "broken", "fence")),
+        F.max(F.when(F.col("part") == 0, F.col("r"))).alias("whole"), F.max(F.when(F.col("part") == 1, F.col("r"))).alias("bare"), F.max(F.when(F.col("part") == 0, F.when(F.col("b.d") <= -4, F.col("b.ends") - F.col("copies")))).alias("usual"))
     heaps = piles(shape)
     for unit in ("chars", "bytes"):
         own_unit = heaps.where(F.col("unit") == unit).select(F.col("source").alias("_s"), F.col("length").alias(unit), F.col("odds").alias(f"odds_{unit}"))
         one = one.join(own_unit, one["source"].eqNullSafe(own_unit["_s"]) & (one[unit] == own_unit[unit]), "left").drop("_s").drop(own_unit[unit])
     # A mark speaks for a cut unless texts end with it regularly after the same words.
     context = F.when(F.col("marked") & (F.coalesce("usual", F.lit(0)) < 3), F.greatest("whole", F.col("bare") * 20)).otherwise(F.col("whole"))
-    ratio = context * F.when(F.col("broken"), 1e6).otherwise(1.0) * F.when(F.col("fence"), 30.0).otherwise(1.0) * F.coalesce(F.greatest("odds_chars", "odds_bytes") * 50, F.lit(1.0))
+    ratio = context * F.when(F.col("broken"), 1e6).otherwise(1.0) * F.when(F.col("fence"), 30.0).otherwise(1.0) * F.when(F.greatest("odds_chars", "odds_bytes") > 0, 30.0).otherwise(1.0)
     return one.select(F.col("key").alias(key), "source", "lang", F.greatest(F.least(ratio, F.lit(1e9)), F.lit(1e-9)).alias("ratio"))
 
 
-def _places(rows: DataFrame) -> int:
-    """The places of all texts; letters in words count as one place."""
-    return rows.agg(F.sum(F.regexp_count("text", F.lit(r"[\p{L}]+|\d+|[^\w\s]|\n+")))).first()[0] or 0
+def _places(rows: DataFrame) -> tuple[int, int]:
+    """(folded places, characters) of all texts."""
+    r = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[\p{L}]+|\d+|[^\w\s]|\n+"))).alias("f"), F.sum(F.length("text")).alias("c")).first()
+    return r["f"] or 0, r["c"] or 0
 
 
 def priors(ratios: DataFrame, steps: int = 30) -> dict[tuple[str | None, str], float]:
@@ -256,7 +304,7 @@ def priors(ratios: DataFrame, steps: int = 30) -> dict[tuple[str | None, str], f
         p = start
         for _ in range(steps):
             p = float(((n * (p * x / (p * x + 1 - p))).sum() + weight * start) / (n.sum() + weight))
-        return min(max(p, 1e-4), 0.9)
+        return min(max(p, LEAST_PRIOR), 0.9)
 
     out = {}
     for s, rows in by_source.items():
@@ -267,13 +315,13 @@ def priors(ratios: DataFrame, steps: int = 30) -> dict[tuple[str | None, str], f
 
 
 def truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
-    """(key, source, lang, probability) of the texts that are more probably cut than not."""
+    """(key, source, lang, probability) of the texts whose probability of being cut exceeds THRESHOLD."""
     ratios = cut_lineage(scored(df, key, text, source, lang))
     prior = priors(ratios)
     table = df.sparkSession.createDataFrame([(s, la, p) for (s, la), p in prior.items()], "_s string, _l string, p double")
     joined = ratios.join(F.broadcast(table), ratios["source"].eqNullSafe(table["_s"]) & (ratios["lang"] == table["_l"]))
     odds = F.col("ratio") * F.col("p") / (1 - F.col("p"))
-    return joined.select(key, "source", "lang", (odds / (1 + odds)).alias("probability")).where("probability > 0.5")
+    return joined.select(key, "source", "lang", (odds / (1 + odds)).alias("probability")).where(F.col("probability") > THRESHOLD)
 
 
 def rates(df: DataFrame, found: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
