@@ -1,0 +1,154 @@
+"""Models behind one small interface; the default works offline and always answers alike."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import math
+import re
+import time
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+class ProviderError(Exception):
+    """A call that failed; retryable if another try may succeed."""
+
+    def __init__(self, message: str, retryable: bool = False):
+        super().__init__(message)
+        self.retryable = retryable
+
+
+@dataclass(frozen=True)
+class Offline:
+    """Answers from the text itself: generated text is extracted, vectors are hashed bags of words of unit length."""
+
+    model: str = "offline"
+    dimensions: int = 64
+
+    def generate(self, prompt: str, max_tokens: int = 450) -> str:
+        lines = [x.strip() for x in prompt.splitlines() if len(x.strip()) > 3]
+        told = [x for x in lines if re.match(r"(?:#|//|\"\"\"|\*|[A-Z][a-z]+ )", x)] or lines
+        return " ".join(told)[: 4 * max_tokens].strip()
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            v = [0.0] * self.dimensions
+            for w in re.findall(r"\w+", (t or "").lower()):
+                h = hashlib.blake2b(w.encode(), digest_size=8).digest()
+                v[h[0] % self.dimensions] += 1.0 if h[1] & 1 else -1.0
+            n = math.sqrt(sum(x * x for x in v)) or 1.0
+            out.append([x / n for x in v])
+        return out
+
+    def health(self) -> dict:
+        return {"ok": True, "model": self.model, "detail": "offline"}
+
+
+@dataclass(frozen=True)
+class Http:
+    """An endpoint that speaks the common chat and embedding protocol over HTTP."""
+
+    base_url: str
+    model: str
+    api_key: str | None = None
+    embedding_model: str | None = None
+    timeout: float = 120.0
+
+    def _post(self, path: str, body: dict) -> dict:
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})
+        request = urllib.request.Request(self.base_url.rstrip("/") + path, json.dumps(body).encode(), head)
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as r:
+                return json.load(r)
+        except urllib.error.HTTPError as e:
+            raise ProviderError(f"status {e.code}", e.code == 429 or e.code >= 500) from None
+        except OSError as e:
+            raise ProviderError(str(e), True) from None
+
+    def generate(self, prompt: str, max_tokens: int = 450) -> str:
+        return self._post("/chat/completions", {"model": self.model, "max_tokens": max_tokens, "messages": [{"role": "user", "content": prompt}]})["choices"][0]["message"]["content"]
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        if not self.embedding_model:
+            raise ProviderError("no embedding model")
+        return [x["embedding"] for x in self._post("/embeddings", {"model": self.embedding_model, "input": texts})["data"]]
+
+    def health(self) -> dict:
+        try:
+            self.generate("ping", 1)
+            return {"ok": True, "model": self.model, "detail": ""}
+        except ProviderError as e:
+            return {"ok": False, "model": self.model, "detail": str(e)}
+
+
+#: Provider by name -> maker; others can be added.
+PROVIDERS: dict[str, Callable] = {"offline": Offline, "http": Http}
+
+
+def retried(call: Callable, tries: int = 3, first: float = 1.0, most: float = 20.0, sleep: Callable = time.sleep):
+    """What the call returns; retryable errors are tried again after waits that double."""
+    for i in range(tries):
+        try:
+            return call()
+        except ProviderError as e:
+            if not e.retryable or i == tries - 1:
+                raise
+            sleep(min(most, first * 2**i))
+    return None
+
+
+def generate(rows: DataFrame, prompt: str, provider, max_tokens: int = 450, at_once: int = 4, wait: float = 1.0) -> DataFrame:
+    """The rows with summary, model and error: one call a row, so many at once in a task; a failed call marks its own row only."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(text):
+            try:
+                return retried(lambda: provider.generate(text or "", max_tokens), first=wait), None
+            except Exception as e:  # noqa: BLE001
+                return None, f"{type(e).__name__}: {e}"
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                got = list(pool.map(one, b[prompt]))
+                yield b.assign(summary=[g[0] for g in got], model=provider.model, error=[g[1] for g in got])
+
+    kept = [f for f in rows.schema.fields if f.name not in ("summary", "model", "error")]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return rows.select(*(f.name for f in kept)).mapInPandas(run, f"{types}, summary string, model string, error string")
+
+
+def embed(rows: DataFrame, text: str, provider, batch: int = 32, wait: float = 1.0) -> DataFrame:
+    """The rows with vector, dimensions, model and error; a failed or short answer marks every row of its batch, other batches go on."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), batch):
+                part = b.iloc[lo : lo + batch]
+                vectors, error = [None] * len(part), None
+                try:
+                    got = retried(lambda part=part: provider.embed(list(part[text])), first=wait)
+                    if len(got) != len(part):
+                        error = f"{len(got)} vectors for {len(part)} texts"
+                    else:
+                        vectors = got
+                except Exception as e:  # noqa: BLE001
+                    error = f"{type(e).__name__}: {e}"
+                yield part.assign(vector=vectors, dimensions=[len(v) if v else 0 for v in vectors], model=provider.model, error=error)
+
+    kept = [f for f in rows.schema.fields if f.name not in ("vector", "dimensions", "model", "error")]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return rows.select(*(f.name for f in kept)).mapInPandas(run, f"{types}, vector array<float>, dimensions int, model string, error string")
+
+
+def tokens_used(docs: DataFrame) -> DataFrame:
+    """(tokens): all prompt and completion tokens; unknown ones count nothing."""
+    return docs.agg(F.coalesce(F.sum(F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))), F.lit(0)).alias("tokens"))

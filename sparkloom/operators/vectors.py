@@ -33,27 +33,39 @@ def search(vectors: DataFrame, query: list[float], k: int = 10, record_type: str
     return rows.withColumn("distance", squared_distance(F.col(vector), query)).where("distance IS NOT NULL").orderBy("distance", key).limit(k)
 
 
+#: Queries that are broadcast at once, about; more are handled in rounds of this size.
+ROUND = 20_000
+
+
 def search_many(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
     """(query, id, distance, rank) of the k nearest vectors of every query: queries in blocks against all rows, partial heaps merged by query.
 
-    queries: query, vector; vectors: id, vector. The blocks of queries are replicated over the partitions of the vectors.
+    queries: query, vector; vectors: id, vector. Null vectors are left out; all others have one length.
     """
-    packed = queries.select("query", "vector").where("vector IS NOT NULL").withColumn("b", F.floor(F.monotonically_increasing_id() / block)).groupBy("b").agg(F.collect_list(F.struct("query", "vector")).alias("qs"))
-    blocks = vectors.sparkSession.sparkContext.broadcast([(np.array([x["query"] for x in r["qs"]]), np.array([x["vector"] for x in r["qs"]], "f4")) for r in packed.toLocalIterator()])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for v in batches:
-            if not len(v):
-                continue
-            x, ids = np.stack(v["vector"].to_numpy()).astype("f4"), v["id"].to_numpy()
-            for names, q in blocks.value:
-                d = ((q**2).sum(1)[:, None] - 2 * q @ x.T + (x**2).sum(1)[None]).clip(0)
-                top = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k] if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(q), 1))
-                exact = ((q[:, None].astype("f8") - x[top].astype("f8")) ** 2).sum(-1)
-                yield pd.DataFrame({"query": np.repeat(names, top.shape[1]), "id": ids[top].ravel(), "distance": exact.ravel()})
-
+    own = queries.select("query", "vector").where("vector IS NOT NULL")
+    rounds = own.count() // ROUND + 1
     kind, name = queries.schema["query"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
-    local = vectors.select("id", "vector").where("vector IS NOT NULL").mapInPandas(run, f"query {kind}, id {name}, distance double")
+    local = None
+    for r in range(rounds):
+        part = own.where(F.pmod(F.xxhash64("query"), F.lit(rounds)) == r).toPandas()
+        names, matrix = part["query"].to_numpy(), np.stack(part["vector"].to_numpy()).astype("f4") if len(part) else np.zeros((0, 1), "f4")
+        shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names_, matrix_ = shared.value
+            for v in batches:
+                if not len(v):
+                    continue
+                x, ids = np.stack(v["vector"].to_numpy()).astype("f4"), v["id"].to_numpy()
+                for lo in range(0, len(names_), block):
+                    q = matrix_[lo : lo + block]
+                    d = (q**2).sum(1)[:, None] - 2 * q @ x.T + (x**2).sum(1)[None]
+                    top = np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(q), 1))
+                    exact = ((q[:, None].astype("f8") - x[top].astype("f8")) ** 2).sum(-1)
+                    yield pd.DataFrame({"query": np.repeat(names_[lo : lo + block], top.shape[1]), "id": ids[top].ravel(), "distance": exact.ravel()})
+
+        rows = vectors.select("id", "vector").where("vector IS NOT NULL").mapInPandas(run, f"query {kind}, id {name}, distance double")
+        local = rows if local is None else local.unionByName(rows)
     best = local.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k).alias("h"))
     return best.select("query", F.posexplode("h").alias("p", "x")).select("query", "x.id", "x.distance", (F.col("p") + 1).alias("rank"))
 
