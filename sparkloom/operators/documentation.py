@@ -35,6 +35,9 @@ def language_breakdown(files: DataFrame, keys: list[str]) -> DataFrame:
 
 def repository_digest(file_docs: DataFrame, edges: DataFrame, keys: list[str], most: int = 40) -> DataFrame:
     """keys, file_digest, imports, truncated: a line for each of the most depended on files, by path, and the imports among them."""
+    if not keys:
+        one = F.lit(1).alias("_one")
+        return repository_digest(file_docs.select("*", one), edges.select("*", one), ["_one"], most).drop("_one")
     good = file_docs.where(F.col("error").isNull() & (F.col("summary") != "")).dropDuplicates([*keys, "file_path"])
     chosen = top_files(good, degrees(edges, keys), keys, "dependents", most)
     line = F.format_string("- %s (%s): %s", "file_path", F.coalesce("language", F.lit("unknown")), "summary")

@@ -34,7 +34,7 @@ class Offline:
     dimensions: int = 64
 
     def generate(self, prompt: str, max_tokens: int = 450) -> str:
-        lines = [x.strip() for x in prompt.splitlines() if len(x.strip()) > 3]
+        lines = [x.strip() for x in prompt.splitlines()[1:] if len(x.strip()) > 3] or [prompt.strip()]
         told = [x for x in lines if re.match(r"(?:#|//|\"\"\"|\*|[A-Z][a-z]+ )", x)] or lines
         return " ".join(told)[: 4 * max_tokens].strip()
 

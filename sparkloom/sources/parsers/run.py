@@ -35,9 +35,9 @@ def parse(files: DataFrame, keys: list[str], path: str = "file_path", language:
                     rows.append({"symbols": [], "imports": [], "has_syntax_errors": True, "errors": [f"{type(e).__name__}: {e}"]})
             yield pd.concat([b.drop(columns="source").reset_index(drop=True), pd.DataFrame(rows, columns=["symbols", "imports", "has_syntax_errors", "errors"])], axis=1)
 
-    own = files.where(F.lower(language).isin(*EXTRACTORS)).select(*keys, F.col(path).alias("file_path"), F.lower(language).alias("language"), F.col(source).alias("source"))
-    names = [*keys, *(c for c in ("file_path", "language") if c not in keys)]
-    own = own.select(*names, "source")
+    others = {"file_path": F.col(path), "language": F.lower(language)}
+    names = [*keys, *(c for c in others if c not in keys)]
+    own = files.where(F.lower(language).isin(*EXTRACTORS)).select(*keys, *(e.alias(c) for c, e in others.items() if c not in keys), F.col(source).alias("source"))
     types = ", ".join(f"{c} {own.schema[c].dataType.simpleString()}" for c in names)
     return spread(own).mapInPandas(run, f"{types}, symbols {SYMBOLS}, imports {IMPORTS}, has_syntax_errors boolean, errors array<string>")
 
