@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 STRIPE = 16_384
 #: Rows of a block of products, of STEP x STEP x 4 bytes.
 STEP = 2048
+#: Products of a block that give a vector its first bound.
+WARM = 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -41,68 +43,121 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale.astype("f4"), np.linalg.norm(x - codes * scale[:, None], axis=1).astype("f4")
 
 
-def _best(ids: np.ndarray, rows: np.ndarray, cols: np.ndarray, score: np.ndarray, k: int) -> pd.DataFrame:
-    """The k highest scores of each row; ties go to the smaller id."""
-    order = np.lexsort((ids[cols], -score, rows))
-    rows, cols, score = rows[order], cols[order], score[order]
-    first = np.r_[True, rows[1:] != rows[:-1]] if len(rows) else np.zeros(0, bool)
-    start = np.flatnonzero(first)
-    rank = np.arange(len(rows)) - np.repeat(start, np.diff(np.r_[start, len(rows)]))
-    keep = rank < k
-    return rows[keep], cols[keep], score[keep]
+def _first(rows: np.ndarray, k: int) -> np.ndarray:
+    """Which of the sorted rows are among the first k of their row."""
+    start = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, np.int64)
+    return np.arange(len(rows)) - np.repeat(start, np.diff(np.r_[start, len(rows)])) < k
+
+
+class _Side:
+    """The candidates of one side of a tile, with the k best lower bounds of each vector so far."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, error: np.ndarray, other_error: float, k: int):
+        self.x, self.ids, self.k = x, ids, k
+        # |a.b - qa.qb| <= |ea| |b| + |qa| |eb| with |b| = 1 and |qa| <= 1 + |ea|; rounding of float32 is far below the slack.
+        self.bound = (error + (1 + error) * other_error + 1e-5).astype("f4")
+        self.top = np.full((len(ids), k), -9, "f4")
+        self.least = np.full(len(ids), -9, "f4")  # a product below this cannot be among the k best
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.many = 0
+
+    def offer(self, r: np.ndarray, c: np.ndarray, v: np.ndarray) -> None:
+        """Products v of own vectors r with the other side's vectors c."""
+        on = v >= self.least[r]
+        r, c, v = r[on], c[on], v[on]
+        self.kept.append((r, c, v))
+        self.many += len(r)
+        better = v - self.bound[r] > self.top[r, 0]
+        if better.any():
+            rows = np.unique(r[better])
+            allr = np.concatenate([r[better], np.repeat(rows, self.k)])
+            allv = np.concatenate([v[better] - self.bound[r[better]], self.top[rows].ravel()])
+            order = np.lexsort((-allv, allr))
+            allr, allv = allr[order], allv[order]
+            first = _first(allr, self.k)
+            self.top[rows] = allv[first].reshape(-1, self.k)[:, ::-1]
+            self.least[rows] = self.top[rows, 0] - self.bound[rows]
+        if self.many > 4_000_000:
+            self._prune()
+
+    def _prune(self) -> None:
+        r, c, v = map(np.concatenate, zip(*self.kept))
+        on = v >= self.least[r]
+        self.kept, self.many = [(r[on], c[on], v[on])], int(on.sum())
+
+    def best(self, other: "_Side") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(own ids, ids, similarities) of the k best, from the survivors recomputed in double precision; ties go to the smaller id."""
+        if not self.kept:
+            return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)
+        self._prune()
+        r, c, _ = self.kept[0]
+        near = np.empty(len(r), "f4")
+        for p in range(0, len(r), 65_536):
+            q = slice(p, p + 65_536)
+            near[q] = np.einsum("ij,ij->i", self.x[r[q]], other.x[c[q]])
+        # In float, all but those that rounding may put among the k best fall away.
+        order = np.lexsort((-near, r))
+        first = _first(r[order], self.k)
+        least = np.full(len(self.ids), -9, "f4")
+        np.minimum.at(kth := np.full(len(self.ids), 9, "f4"), r[order][first], near[order][first])
+        least = np.where(kth < 9, kth, least)
+        on = near >= least[r] - 4e-6
+        r, c = r[on], c[on]
+        exact = np.einsum("ij,ij->i", self.x[r].astype("f8"), other.x[c].astype("f8"))
+        order = np.lexsort((other.ids[c], -exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        first = _first(r, self.k)
+        return self.ids[r[first]], other.ids[c[first]], exact[first]
 
 
 def tile(xa: np.ndarray, ia: np.ndarray, xb: np.ndarray, ib: np.ndarray, k: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, ids, similarities): the k most similar of the other side for each vector of either side."""
+    """(query ids, ids, similarities): the k most similar of the other side for each vector of either side. Each block of products serves both."""
     qa, sa, ea = quantised(xa)
     qb, sb, eb = (qa, sa, ea) if same else quantised(xb)
-    # |a.b - qa.qb| <= |ea| |b| + |qa| |eb| and |b| = 1, |qa| <= 1 + |ea|; rounding of float32 is far below the slack.
-    slack = 1e-5
+    a = _Side(xa, ia, ea, float(eb.max()), k)
+    b = a if same else _Side(xb, ib, eb, float(ea.max()), k)
+    # Products of codes are exact in float32: at most 127 * 127 * dimensions < 2**24.
     fa, fb = qa.astype("f4") * sa[:, None], qb.astype("f4") * sb[:, None]
-
-    def side(x, i, f, e, y, j, g, h):
-        """Best of y for x. Products of codes are exact in float32: at most 127 * 127 * dimensions < 2**24."""
-        for lo in range(0, len(i), STEP):
-            at = slice(lo, lo + STEP)
-            kept_r, kept_c, kept_u = [], [], []
-            many = min(STEP, len(i) - lo)
-            floor = np.full(many, -9.0, "f4")
-            top = np.full((many, k), -9.0, "f4")
-            for lo2 in range(0, len(j), STEP):
-                s = f[at] @ g[lo2 : lo2 + STEP].T
-                if y is x:
-                    both = np.arange(max(lo, lo2), min(lo + STEP, lo2 + STEP, len(i)))
-                    s[both - lo, both - lo2] = -9
-                bound = e[at][:, None] + (1 + e[at][:, None]) * h[None, lo2 : lo2 + STEP].max() + slack
-                # A pair stays if its upper bound reaches the k-th best lower bound so far.
-                r, c = np.nonzero(s + bound >= floor[:, None])
-                v = s[r, c]
-                fine = v > -5
-                r, c, v = r[fine], c[fine], v[fine]
-                b = bound[r, 0]
-                kept_r.append(r)
-                kept_c.append(c + lo2)
-                kept_u.append(v + b)
-                part = s if s.shape[1] <= k else np.partition(s, s.shape[1] - k, axis=1)[:, -k:]
-                top = np.sort(np.concatenate([top, part - bound], axis=1), axis=1)[:, -k:]
-                floor = top[:, 0].copy()
-                if sum(map(len, kept_r)) > 4_000_000:
-                    r, c, u = map(np.concatenate, (kept_r, kept_c, kept_u))
-                    on = u >= floor[r]
-                    kept_r, kept_c, kept_u = [r[on]], [c[on]], [u[on]]
-            r, c, u = map(np.concatenate, (kept_r, kept_c, kept_u))
-            on = u >= floor[r]
-            r, c = r[on], c[on]
-            exact = np.empty(len(r))
-            for p in range(0, len(r), 65_536):
-                q = slice(p, p + 65_536)
-                exact[q] = np.einsum("ij,ij->i", x[lo + r[q]].astype("f8"), y[c[q]].astype("f8"))
-            r, c, exact = _best(j, r, c, exact, k)
-            yield i[lo + r], j[c], exact
-
-    yield from side(xa, ia, fa, ea, xb, ib, fb, eb)
+    for lo in range(0, len(ia), STEP):
+        for lo2 in range(lo if same else 0, len(ib), STEP):
+            s = fa[lo : lo + STEP] @ fb[lo2 : lo2 + STEP].T
+            if same and lo == lo2:
+                np.fill_diagonal(s, -9)
+            rows, cols = slice(lo, lo + s.shape[0]), slice(lo2, lo2 + s.shape[1])
+            if a.least[rows].min() < -8 or b.least[cols].min() < -8:
+                # No bounds yet: the k best of some products of each row and column give first ones.
+                for side, at, part in ((a, lo, s[:, :WARM]), (b, lo2, np.ascontiguousarray(s[:WARM].T))):
+                    n = min(k, part.shape[1])
+                    top = np.argpartition(part, part.shape[1] - n, axis=1)[:, -n:].ravel()
+                    r = np.repeat(np.arange(part.shape[0]), n)
+                    _warm(side, at + r, part[r, top])
+            hit = np.flatnonzero(s >= np.minimum.outer(a.least[rows], b.least[cols]))
+            r, c = np.divmod(hit, s.shape[1])
+            v = s.ravel()[hit]
+            real = v > -5
+            r, c, v = r[real], c[real], v[real]
+            a.offer(lo + r, lo2 + c, v)
+            if not (same and lo == lo2):
+                b.offer(lo2 + c, lo + r, v)
+    yield a.best(b)
     if not same:
-        yield from side(xb, ib, fb, eb, xa, ia, fa, ea)
+        yield b.best(a)
+
+
+def _warm(side: _Side, r: np.ndarray, v: np.ndarray) -> None:
+    """Lower bounds only: the products are offered again when they are kept."""
+    rows = np.unique(r)
+    rows = rows[side.least[rows] < -8]
+    if not len(rows):
+        return
+    on = np.isin(r, rows) & (v > -5)
+    allr = np.concatenate([r[on], np.repeat(rows, side.k)])
+    allv = np.concatenate([v[on] - side.bound[r[on]], np.full(len(rows) * side.k, -9, "f4")])
+    order = np.lexsort((-allv, allr))
+    allr, allv = allr[order], allv[order]
+    # One bound less than the k-th, so that the product that gave it passes again.
+    low = allv[_first(allr, side.k)].reshape(-1, side.k)[:, -1]
+    side.least[rows] = np.maximum(side.least[rows], low - side.bound[rows])
 
 
 def nearest(vectors: DataFrame, k: int = 10, stripe: int = STRIPE) -> DataFrame:
