@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.session import parallelism
+
 #: Vectors in a stripe. A task holds two stripes in float and int8: about 2 x STRIPE x dimensions x 5 bytes.
 STRIPE = 16_384
 #: Rows of a block of products, of STEP x STEP x 4 bytes.
@@ -178,7 +180,9 @@ def nearest(vectors: DataFrame, k: int = 10, stripe: int = STRIPE) -> DataFrame:
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 yield pd.DataFrame({"model": [model], "dims": [dims], "s": [s], "ids": [g["vec_no"].to_numpy("<i8").tobytes()], "x": [x.astype("<f4").tobytes()]})
 
-    sizes = F.coalesce(*(F.when(F.col("model").eqNullSafe(F.lit(m)) & (F.col("dims") == d), F.lit(-(-n // stripe))) for (m, d), n in counts.items()), F.lit(1)) if counts else F.lit(1)
+    # Enough stripes for a tile a core, but none of less than a block.
+    cores = next(r for r in range(1, 1000) if r * (r + 1) >= 2 * parallelism(vectors.sparkSession) or r == 999)
+    sizes = F.coalesce(*(F.when(F.col("model").eqNullSafe(F.lit(m)) & (F.col("dims") == d), F.lit(max(-(-n // stripe), min(cores, -(-n // STEP))))) for (m, d), n in counts.items()), F.lit(1)) if counts else F.lit(1)
     blocks = unit.withColumn("r", sizes).withColumn("s", F.pmod(F.xxhash64("vec_no"), F.col("r")).cast("int"))
     blocks = blocks.select("model", "dims", "s", "r", "vec_no", "vector")
     packed = blocks.select("model", "dims", "s", "vec_no", "vector").mapInPandas(pack, "model string, dims int, s int, ids binary, x binary")
