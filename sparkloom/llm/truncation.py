@@ -49,17 +49,19 @@ def vocabulary(docs: DataFrame, text: str) -> dict[str, int]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs: Counter = Counter()
+        same: dict[str, str] = {}
 
         def out():
             return pd.DataFrame([(a, b, n) for (a, b), n in pairs.items()], columns=["a", "b", "n"])
 
         for batch in batches:
             for t in batch["t"]:
-                w = _words(t)
+                w = [same.setdefault(x, x) for x in _words(t)]
                 pairs.update(zip(w, w[1:]))
-                if len(pairs) > 300_000:
+                if len(pairs) > 60_000:
                     yield out()
                     pairs.clear()
+                    same.clear()
         yield out()
 
     pairs = cut_lineage(docs.select(F.col(text).alias("t")).mapInPandas(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
@@ -95,7 +97,7 @@ class Folding:
                     got = [NUMBER + 10]
                 else:
                     got = [2] if c == "\n" else [100 + ord(c)]
-                if len(ids) < 500_000:
+                if len(ids) < 100_000:
                     ids[w] = got
             out += got
         while out and out[-1] == 2:
@@ -163,7 +165,7 @@ def ngrams(docs: DataFrame, text: str, words: dict[str, int], ends: DataFrame) -
             lo = 0
             while lo < len(texts):
                 hi, size = lo, 0
-                while hi < len(texts) and size < 300_000:
+                while hi < len(texts) and size < 100_000:
                     size += len(texts[hi])
                     hi += 1
                 part = texts[lo:hi]
