@@ -252,6 +252,19 @@ class Reducer:
                 out.append(r)
         return "".join(out) + body[at:]
 
+    def _readings(self, kind: int, body: str) -> int:
+        key = OPEN[kind] + body
+        mask = self.bodies.get(key)
+        if mask is None:
+            mask = 0
+            for bit, p in self.g.matchers[OPEN[kind]]:
+                if p.match(body):
+                    mask |= 1 << bit
+            if len(self.bodies) > self.most:
+                self.bodies.clear()
+            self.bodies[key] = mask
+        return mask
+
     def _group(self, m) -> str:
         text = m[0]
         r = self.memo.get(text)
@@ -259,17 +272,11 @@ class Reducer:
             kind = self.kind[text[0]]
             mask = 0
             if self.pair[text[0]] == text[-1]:
-                body = self._segments(text[1:-1]) if kind == 2 else text[1:-1]
-                key = text[0] + body
-                mask = self.bodies.get(key)
-                if mask is None:
-                    mask = 0
-                    for bit, p in self.g.matchers[OPEN[kind]]:
-                        if p.match(body):
-                            mask |= 1 << bit
-                    if len(self.bodies) > self.most:
-                        self.bodies.clear()
-                    self.bodies[key] = mask
+                whole = text[1:-1]
+                body = self._segments(whole) if kind == 2 else whole
+                mask = self._readings(kind, body)
+                if not mask and body != whole:  # a statement that goes on after the end of a segment, as with else
+                    mask = self._readings(kind, whole)
             r = chr(GROUP + 512 * kind + mask) if mask else ""
             if len(self.memo) > self.most:
                 self.memo.clear()

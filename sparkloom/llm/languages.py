@@ -64,7 +64,7 @@ decorator: '@' ident ('.' prop)* ARGS? 'n'*
 stmt: ';' 'n'* | BLOCK 'n'* | decl | 'if' COND 'n'* stmt ('n'* 'else' 'n'* stmt)? | 'for' 'await'? FORHEAD 'n'* stmt | 'while' COND 'n'* stmt | 'do' 'n'* stmt 'n'* 'while' COND (';' | 'n')* | 'return' expr? end | 'throw' expr end | 'break' (ident &end)? end | 'continue' (ident &end)? end | 'try' BLOCK 'n'* ('catch' PARAMS? BLOCK 'n'* ('finally' BLOCK)? | 'finally' BLOCK) 'n'* | 'switch' COND SWITCH 'n'* | 'debugger' end | ident ':' 'n'* stmt | !OBJECT !'function' !'class' expr end
 expr: assign (',' assign)*
 assign: operand (binop operand | '?' assign ':' assign | asop assign)*
-binop: {_any(_BIN)} | '>' '>'? '>'? '='?
+binop: {_any(_BIN)} | '>' '>'? '>'? '='? 'n'?
 asop: {_any(_ASSIGN)}
 operand: prefix* primary postfix*
 prefix: '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' &(prefix | primary) | 'new' !'.' | 'yield' '*'? &(prefix | primary)
@@ -150,7 +150,7 @@ _ECMA = re.compile(
 )
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*+(`|\$\{)", re.S)
 _JS_ENDS = {"id", "num", "str", "tpl", "regex", ")", "]", "}", "++", "--", "this", "super", "null", "true", "false", "return", "break", "continue", "debugger", "yield", "priv", "void"}
-_NO_BREAK_BEFORE = {"in", "instanceof", "else", "catch", "finally", "from", "as", "of", "extends", "implements", "satisfies", "=>"}
+_NO_BREAK_BEFORE = {"in", "instanceof", "from", "as", "of", "extends", "implements", "satisfies", "=>"}
 _START = {"id", "num", "str", "regex", "priv", "{", "!", "~", "++", "--", "@", "[", "*"}
 
 
@@ -158,7 +158,7 @@ class Bad(Exception):
     """The text is no sequence of tokens of the language."""
 
 
-def _lex_ecma(text: str, words: frozenset[str], soft: frozenset[str], depth: int = 0) -> list[str]:
+def _lex_ecma(text: str, words: frozenset[str], soft: frozenset[str], depth: int = 0, ends: frozenset[str] = frozenset(_JS_ENDS)) -> list[str]:
     """Token classes; 'n' is a line end at which a statement may end."""
     out: list[str] = []
     at, n, breaks = 0, len(text), False
@@ -216,7 +216,7 @@ def _lex_ecma(text: str, words: frozenset[str], soft: frozenset[str], depth: int
                         level += 1
                     elif m2[0] == "}":
                         level -= 1
-                parts += ["(", *_lex_ecma(text[at : p - 1], words, soft, depth + 1), ")"]
+                parts += ["(", *_lex_ecma(text[at : p - 1], words, soft, depth + 1, ends), ")"]
                 at = p
             c = "tpl"
         elif kind == 9:
@@ -225,7 +225,7 @@ def _lex_ecma(text: str, words: frozenset[str], soft: frozenset[str], depth: int
             raise Bad(m[0])
         if breaks:
             breaks = False
-            if out and (out[-1] in _JS_ENDS or out[-1] in soft) and c not in _NO_BREAK_BEFORE and (c in _START or c in words or c in soft) and not (out[-1] == ")" and c == "{") and (c not in "[*" or out[-1] == "}"):
+            if out and (out[-1] in ends or out[-1] in soft) and c not in _NO_BREAK_BEFORE and (c in _START or c in words or c in soft) and not (out[-1] in ")>" and c == "{") and (c not in "[*" or out[-1] == "}"):
                 append("n")
         append(c)
         if c == "tpl":
@@ -253,7 +253,7 @@ simple{x}: exprs{x} (assign 'range'? exprs{x} | '++' | '--' | '<-' expr{x})?
 """
     return Grammar(
         f"""
-start: ';'* (TOPS | 'package' 'id' semi) (TOPS | import semi)* (TOPS | top semi)*
+start: ';'* (PACKAGES | 'package' 'id' semi) (IMPORTS1 | import semi)* (TOPS | top semi)*
 semi: ';'+ | $
 import: 'import' (('id' | '.')? 'str' | IMPORTS)
 top: 'func' RECV? 'id' INDEX? sig FBLOCK? | declaration
@@ -302,7 +302,9 @@ STMTS: ';'* (stmt ';'+)+ | ';'+
 CLAUSES: ';'* clause+
 FIELDS: (field ';'+)+
 METHODS: (method ';'+)+
-TOPS: 'package' 'id' semi | import semi | top semi
+PACKAGES: ';'* 'package' 'id' semi
+IMPORTS1: ';'* import semi
+TOPS: ';'* top semi
 """,
     )
 
@@ -531,6 +533,8 @@ def _lex_rust(text: str) -> list[str]:
 
 OPENING = {"(": ")", "[": "]", "{": "}"}
 RUST = _rust()
+#: In TypeScript a closing angle bracket may end a type and with it a statement.
+_TS_ENDS = frozenset([*_JS_ENDS, ">"])
 _JS_SET, _JS_SOFT_SET, _TS_SOFT_SET = frozenset(_JS_WORDS), frozenset(_JS_SOFT), frozenset([*_JS_SOFT, *(w for w in _TS_SOFT if w != "enum")])
 
 
@@ -552,8 +556,8 @@ def _lex_json(text: str) -> list[str]:
 LANGUAGES = {
     "js": ("javascript", JS, lambda t: _lex_ecma(t, _JS_SET, _JS_SOFT_SET)),
     "mjs": ("javascript", JS, lambda t: _lex_ecma(t, _JS_SET, _JS_SOFT_SET)),
-    "ts": ("typescript", TS, lambda t: _lex_ecma(t, _JS_SET, _TS_SOFT_SET)),
-    "mts": ("typescript", TS, lambda t: _lex_ecma(t, _JS_SET, _TS_SOFT_SET)),
+    "ts": ("typescript", TS, lambda t: _lex_ecma(t, _JS_SET, _TS_SOFT_SET, 0, _TS_ENDS)),
+    "mts": ("typescript", TS, lambda t: _lex_ecma(t, _JS_SET, _TS_SOFT_SET, 0, _TS_ENDS)),
     "go": ("go", GO, _lex_go),
     "rs": ("rust", RUST, _lex_rust),
     "json": ("json", JSON, _lex_json),

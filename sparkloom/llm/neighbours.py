@@ -178,7 +178,7 @@ def nearest(vectors: DataFrame, k: int = 10, stripe: int = STRIPE) -> DataFrame:
                 big = np.abs(x).max(axis=1, keepdims=True)
                 x = x / big
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                yield pd.DataFrame({"model": [model], "dims": [dims], "s": [s], "ids": [g["vec_no"].to_numpy("<i8").tobytes()], "x": [x.astype("<f4").tobytes()]})
+                yield pd.DataFrame({"model": pd.Series([model if isinstance(model, str) else None], dtype=object), "dims": [dims], "s": [s], "ids": [g["vec_no"].to_numpy("<i8").tobytes()], "x": [x.astype("<f4").tobytes()]})
 
     # Enough stripes for a tile a core, but none of less than a block.
     cores = next(r for r in range(1, 1000) if r * (r + 1) >= 2 * parallelism(vectors.sparkSession) or r == 999)
@@ -190,7 +190,7 @@ def nearest(vectors: DataFrame, k: int = 10, stripe: int = STRIPE) -> DataFrame:
     # Stripe s is in the tiles (s, t) and (t, s); a tile is named (smaller, larger).
     tiles = packed.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).select("model", "dims", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "s", "ids", "x")
 
-    def meet(key, g: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         model, dims, i, j = key
         sides = []
         for s in sorted({i, j}):
@@ -201,7 +201,7 @@ def nearest(vectors: DataFrame, k: int = 10, stripe: int = STRIPE) -> DataFrame:
         (xa, ia), (xb, ib) = sides[0], sides[-1]
         out = list(tile(xa, ia, xb, ib, k, i == j)) if len(ia) and len(ib) else []
         q, c, v = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))
-        return pd.DataFrame({"model": [model] * len(q), "vec_no": q, "neighbour": c, "similarity": v})
+        return pd.DataFrame({"model": pd.Series([model if isinstance(model, str) else None] * len(q), dtype=object), "vec_no": q, "neighbour": c, "similarity": v})
 
     local = tiles.groupBy("model", "dims", "i", "j").applyInPandas(meet, "model string, vec_no long, neighbour long, similarity double")
     # The heaps of a vector's tiles, of k each, are merged.
