@@ -47,7 +47,7 @@ def candidates(imports: DataFrame, keys: list[str]) -> DataFrame:
     js = F.when(module.startswith("."), F.array(*(cand(F.lit(i), F.concat(target, F.lit(e)), "path") for i, e in enumerate(JS_ENDINGS)), *(cand(F.lit(len(JS_ENDINGS) + i), F.concat(target, F.lit("/index" + e)), "path") for i, e in enumerate(JS_ENDINGS[1:]))))
     # Go: the directory of the package below the module of go.mod.
     prefix = F.coalesce(F.col("go_module"), F.lit("\0"))
-    go = F.when((module == prefix) | module.startswith(F.concat(prefix, F.lit("/"))), F.array(cand(F.lit(0), F.ltrim(F.lit("/"), F.expr("substring(module, length(go_module) + 1)")), "dir")))
+    go = F.when((module == prefix) | module.startswith(F.concat(prefix, F.lit("/"))), F.array(cand(F.lit(0), F.regexp_replace(F.expr("substring(module, length(go_module) + 1)"), "^/+", ""), "dir")))
     # Rust: crate from its root, self and super from the directory, each path with two endings.
     steps = F.split(module, "::")
     tail = F.array_join(F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 1, F.lit(0))), "/")
