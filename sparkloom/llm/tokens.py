@@ -16,12 +16,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import cut_lineage
+from sparkloom.session import cut_lineage, spread
 
 #: Where the files of the public tokenizers are.
 TOKENIZERS = os.environ.get("SPARKLOOM_TOKENIZERS", "/opt/tokenizers")
-#: The pattern by which byte_bpe_50k splits text, as fixed by the tokenizer; (?U) makes Java's white space that of Unicode.
+#: The pattern by which byte_bpe_50k splits text, as fixed by the tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for Java, whose \\s is that of ASCII: Unicode's white space is spelled out.
+_SPACE = r"\t-\r\x85\p{Z}"
+JAVA_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 HOT_PARTS = 10_000
 #: Longer pre-tokens are never broadcast, which bounds the broadcast in bytes too.
 HOT_CHARS = 64
@@ -47,7 +50,7 @@ def encoding(path: str):
 
 def pretokens(text: Column) -> Column:
     """The pre-tokens of a text, in order; together they are the text."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(JAVA_PATTERN), F.lit(0))
 
 
 def _places(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -83,10 +86,11 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     Null and empty texts give the empty list; texts of any length are encoded whole. Rows that repeat (key, text) give one
     row. A null key is a key like any other. Other columns of df do not matter.
     """
-    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    rows = spread(df.select(F.col(key).alias("_k"), F.col(text).alias("_t")))
     found = joined(rows.where(F.length("_t") > 0), "_k", "_t", path or rank_file())
-    # A row that repeats a key with the same text repeats its places: (pos, ids) are made distinct before they are put together.
-    lists = found.groupBy("_key").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("_pos", "_ids")))).alias("_all"))
+    lists = found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_pos", "_ids"))).alias("_all"))
+    # A row that repeats a key with the same text repeats its places, which are neighbours now: one of each is kept.
+    lists = lists.withColumn("_all", F.filter("_all", lambda x, i: (i == 0) | (x["_pos"] != F.get(F.col("_all"), i - 1)["_pos"])))
     ids = lists.select(F.col("_key").alias("_k2"), F.flatten(F.transform("_all", lambda x: x["_ids"])).alias("ids"))
     keys = rows.select("_k").distinct()
     empty = F.array().cast("array<int>")
@@ -95,7 +99,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
 
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, n_tokens): as encode_corpus, but only the number of ids, so no list is ever built."""
-    rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t")).dropDuplicates(["_k"])
+    rows = spread(df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))).dropDuplicates(["_k"])
     found = joined(rows.where(F.length("_t") > 0), "_k", "_t", path or rank_file())
     counts = found.groupBy("_key").agg(F.sum(F.size("_ids")).alias("n_tokens"))
     return rows.select("_k").join(counts, F.col("_k").eqNullSafe(F.col("_key")), "left").select(F.col("_k").alias(key), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
