@@ -8,12 +8,15 @@ by slicing in one linear pass, or, for files on shared storage, by seeking; no l
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import parallelism
+
 #: Characters after a cut that are looked at, so that a boundary at the very end of a range is seen whole.
 AHEAD = 120
 #: A line that begins a declaration in one of the languages at hand.
@@ -50,6 +53,43 @@ def ranges(texts: DataFrame, key: str, text: str, limit: int, overlap: int) -> D
     return long.mapInPandas(cut, f"_key {kind}, _k int, _last boolean, _from long, _to long, _base long, _part string")
 
 
+def file_ranges(spark: SparkSession, files: list[str], limit: int, overlap: int, most: int = 1_000_000) -> DataFrame:
+    """The ranges of files on storage that all executors see, as ranges() makes them; workers seek to their range, so no file is loaded whole.
+
+    Offsets are bytes: a part holds one character (of ISO-8859-1) for each byte. Files within the limit have no ranges.
+    """
+    stride, depth = _geometry(limit, overlap)
+    sizes = [(f, os.path.getsize(f)) for f in files[:most]]
+    if len(files) > most:
+        raise ValueError(f"more than {most} files")
+    table = spark.createDataFrame([(f, n, -(-n // stride)) for f, n in sizes if n > limit], "_key string, _n long, _many int")
+    places = table.select("_key", "_n", "_many", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)).alias("_k")).repartition(4 * parallelism(spark))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo_ in range(0, len(b), 256):
+                rows = []
+                for name, n, many, k in b.iloc[lo_ : lo_ + 256].itertuples(index=False):
+                    lo, hi = k * n // many, (k + 1) * n // many
+                    base = max(0, lo - depth - overlap)
+                    with open(name, "rb") as f:
+                        f.seek(base)
+                        rows.append((name, k, k == many - 1, lo, hi, base, f.read(hi + AHEAD - base).decode("latin-1")))
+                yield pd.DataFrame(rows, columns=["_key", "_k", "_last", "_from", "_to", "_base", "_part"])
+
+    return places.mapInPandas(read, "_key string, _k int, _last boolean, _from long, _to long, _base long, _part string")
+
+
+def split_files(spark: SparkSession, files: list[str], limit: int = 6000, overlap: int = 400) -> DataFrame:
+    """The pieces of files longer than limit bytes, as pieces() gives them: start and end are bytes, content is text in UTF-8.
+
+    A cut lies inside a character only where no white space is in reach; its bytes are then shown as replacement characters.
+    """
+    cut = _pieces(file_ranges(spark, files, limit, overlap), "file_path", limit, overlap)
+    text = F.decode(F.encode("content", "ISO-8859-1"), "UTF-8")
+    return cut.withColumn("content", text).withColumn("symbol", F.decode(F.encode("symbol", "ISO-8859-1"), "UTF-8"))
+
+
 def _latest(part: Column, pattern: str) -> Column:
     """Offset in part just after the last match of pattern, 0 if there is none."""
     return F.length(F.regexp_extract(part, f"(?s)^(.*{pattern})", 1))
@@ -64,8 +104,12 @@ def pieces(texts: DataFrame, key: str, text: str, limit: int = 6000, overlap: in
     piece, else the first declared in it, else null. Null texts and those within the limit give no rows; a table without rows
     gives none. A key that repeats must carry the same text and then counts once.
     """
-    stride, depth = _geometry(limit, overlap)
-    r = ranges(texts, key, text, limit, overlap).dropDuplicates(["_key", "_k"])
+    return _pieces(ranges(texts, key, text, limit, overlap).dropDuplicates(["_key", "_k"]), key, limit, overlap)
+
+
+def _pieces(r: DataFrame, key: str, limit: int, overlap: int) -> DataFrame:
+    """The pieces of texts given as ranges: boundary tables stitched, lines counted by prefix sums, pieces cut by offset."""
+    _, depth = _geometry(limit, overlap)
     to, lo = (F.col("_to") - F.col("_base")).cast("int"), (F.col("_from") - F.col("_base")).cast("int")
     reach = F.substring(F.col("_part"), 1, 0)  # placeholder of the right type for the last range
     window = F.when(F.col("_last"), reach).otherwise(F.substring("_part", to - depth + 1, F.lit(depth)))

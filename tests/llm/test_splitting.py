@@ -58,3 +58,18 @@ def test_very_long_and_empty(spark):
     t = code(400_000)
     check(t, cut(spark, [row(1, t)])[1])
     assert cut(spark, []) == {}
+
+
+def test_files_are_cut_by_seeking(spark, tmp_path):
+    texts = {"a.py": code(50_000, 3), "b.txt": "größe 漢字 " * 3000, "c.txt": "short"}
+    for n, t in texts.items():
+        (tmp_path / n).write_text(t, encoding="utf-8")
+    got = splitting.split_files(spark, [str(tmp_path / n) for n in texts]).orderBy("file_path", "piece_no").collect()
+    for n in ("a.py", "b.txt"):
+        raw = texts[n].encode()
+        own = [r for r in got if r["file_path"].endswith(n)]
+        assert own[0]["start"] == 0 and own[-1]["end"] == len(raw) and own[0]["n_pieces"] == len(own)
+        for r in own:
+            assert raw[r["start"] : r["end"]].decode() == r["content"] and r["end"] - r["start"] <= 6000 and r["lines_before"] == raw[: r["start"]].count(b"\n")
+        assert all(1 <= a["end"] - b["start"] <= 400 for a, b in zip(own, own[1:]))
+    assert not [r for r in got if r["file_path"].endswith("c.txt")]
