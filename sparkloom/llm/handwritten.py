@@ -191,12 +191,13 @@ def not_by_hand(sources: DataFrame, known: DataFrame) -> DataFrame:
     counts = places.groupBy("rule").agg(F.count("*").alias("n"), F.min("repo_id").alias("a"), F.max("repo_id").alias("z"))
     counts = cut_lineage(counts.where("a < z"))
     total = files.agg(F.coalesce(F.sum(F.size("rules")), F.lit(0))).first()[0]
-    # Hot rules are everyday phrases, at most HOT_PARTS of them; they are dropped before the join, so no key of it is hot.
+    # Hot rules, at most HOT_PARTS of them, are hits like the others; they meet their places by broadcast, so no key of the shuffled join is hot.
     is_hot = (F.col("n") * HOT_PARTS >= F.lit(total)) & (F.col("n") > 100)
     hot = F.broadcast(counts.where(is_hot).select("rule"))
     cold = counts.where(~is_hot).select("rule")
-    exploded = files.select("repo_id", "file_path", F.size("rules").alias("all"), F.explode("rules").alias("rule")).join(hot, "rule", "left_anti")
-    hits = exploded.join(cold, "rule").groupBy("repo_id", "file_path").agg(F.count("*").alias("hits"), F.max("all").alias("all"))
+    exploded = files.select("repo_id", "file_path", F.size("rules").alias("all"), F.explode("rules").alias("rule"))
+    met = exploded.join(hot, "rule", "left_anti").join(cold, "rule").unionByName(exploded.join(hot, "rule"))
+    hits = met.groupBy("repo_id", "file_path").agg(F.count("*").alias("hits"), F.max("all").alias("all"))
     across = hits.where(F.col("hits") >= SHARED * F.col("all")).select("repo_id", "file_path", F.array(F.lit("vendored")).alias("kinds"))
     own = files.select("repo_id", "file_path", F.array_union("signs", F.when(F.col("known") >= KNOWN, F.array(F.lit("vendored"))).otherwise(F.array().cast("array<string>"))).alias("kinds"))
     both = own.where(F.size("kinds") > 0).unionByName(across)

@@ -47,3 +47,11 @@ def test_repair_finds_periods():
     left, rules, run = repair.grammars([periodic, rng.integers(0, 500, 500), np.zeros(0, np.int64), np.array([1])])
     assert left[0] < 20 and run[0] > 400 and run[1] == 0 and list(left[2:]) == [0, 1]
     assert rules[0] > 0
+
+
+def test_copies_in_very_many_repositories(spark):
+    text = hand(12, 99)
+    rows = [(n, f"src/m{n}.py", text.encode()) for n in range(120)] + [(500, "src/own.py", hand(12, 98).encode())]
+    s = spark.createDataFrame(rows, "repo_id long, file_path string, source binary")
+    got = handwritten.not_by_hand(s, spark.createDataFrame([], "library string, content string")).collect()
+    assert {(r["repo_id"], r["file_path"], *r["kinds"]) for r in got} == {(n, f"src/m{n}.py", "vendored") for n in range(120)}
