@@ -87,11 +87,17 @@ _NUMBER = re.compile(r"\d+")
 _HASHED = re.compile(r"(?:integrity|checksum|resolved|sha512|sha256)[\"']?\s*[:=]")
 
 
+def _compressed(text: str) -> int:
+    """Bytes of the whole text when compressed, in pieces, so that no second copy of it is held."""
+    z = zlib.compressobj()
+    return sum(len(z.compress(text[lo : lo + 65_536].encode())) for lo in range(0, len(text), 65_536)) + len(z.flush())
+
+
 def literal_share(text: str) -> float:
     """The share of a text in literals that hardly compress: numbers in long lists and long strings without spaces."""
     numbers = sum(map(len, _NUMBERS.findall(text)))
     blobs = "".join(_BLOB.findall(text)) + "".join(_BLOB_LINE.findall(text))
-    if blobs and len(zlib.compress(blobs[:200_000].encode())) < 0.6 * min(len(blobs), 200_000):
+    if blobs and _compressed(blobs) < 0.6 * len(blobs):
         blobs = ""
     return (numbers + len(blobs)) / max(1, len(text))
 

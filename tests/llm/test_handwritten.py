@@ -55,3 +55,11 @@ def test_copies_in_very_many_repositories(spark):
     s = spark.createDataFrame(rows, "repo_id long, file_path string, source binary")
     got = handwritten.not_by_hand(s, spark.createDataFrame([], "library string, content string")).collect()
     assert {(r["repo_id"], r["file_path"], *r["kinds"]) for r in got} == {(n, f"src/m{n}.py", "vendored") for n in range(120)}
+
+
+def test_whole_blobs_are_compressed():
+    r = random.Random(8)
+    noise = ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=100)) for _ in range(15_000)]
+    padding = ["A" * 100] * 15_000
+    assert handwritten.literal_share("\n".join(padding[:2200] + noise)) > 0.9  # the head compresses, the whole does not
+    assert handwritten.literal_share("\n".join(noise[:2200] + padding)) == 0  # the other way round
