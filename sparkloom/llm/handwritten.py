@@ -108,9 +108,10 @@ def dense_share(text: str) -> float:
     return sum(len(x) for x in long if x.count(" ") < 0.06 * len(x) and x.isascii() and not x.lstrip().startswith(_COMMENT)) / max(1, len(text))
 
 
-def signs(path: str, text: str) -> list[str]:
-    """Why a file of this path and text is not written by hand, as far as the file alone tells without its grammar."""
-    out = []
+def signs(path: str, text: str | None) -> list[str]:
+    """Why a file of this path and text is not written by hand, as far as the file alone tells without its grammar; text None: only its path is known."""
+    out, unread = [], text is None
+    text = text or ""
     if _VENDOR.search(path):
         out.append("vendored")
     if _GENERATED_PATH.search(path):
@@ -118,7 +119,7 @@ def signs(path: str, text: str) -> list[str]:
     dense = dense_share(text) if len(text) > 600 else 0.0
     literals = literal_share(text) if len(text) > 600 else 0.0
     code = bool(_CODE.search(path))
-    if code and (dense > 0.6 and literals < 0.3 or _MINIFIED_PATH.search(path) and dense > 0.3):
+    if code and (dense > 0.6 and literals < 0.3 or _MINIFIED_PATH.search(path) and (dense > 0.3 or unread)):
         out.append("minified")
     if code and literals > 0.5:
         out.append("data")
@@ -158,8 +159,9 @@ def examined(sources: DataFrame, known: DataFrame) -> DataFrame:
         for b in batches:
             for lo in range(0, len(b), 400):
                 part = b.iloc[lo : lo + 400]
-                texts = ["" if s is None or b"\0" in s[:8192] else s.decode("utf-8", "replace").removeprefix("﻿").replace("\r\n", "\n") for s in part["source"]]
-                found = [signs(p, t) if t and not _NOT_SOURCE.search(p) else [] for p, t in zip(part["file_path"], texts)]
+                read = [None if s is None or b"\0" in s[:8192] else s.decode("utf-8", "replace").removeprefix("﻿").replace("\r\n", "\n") for s in part["source"]]
+                found = [signs(p, t) if not _NOT_SOURCE.search(p) else [] for p, t in zip(part["file_path"], read)]
+                texts = [t or "" for t in read]
                 code = [bool(_CODE.search(p)) for p in part["file_path"]]
                 sequences = [tokens(t, classes) if c else np.zeros(0, np.int64) for t, c in zip(texts, code)]
                 left, rules, periodic = grammars(sequences)
@@ -189,7 +191,7 @@ def not_by_hand(sources: DataFrame, known: DataFrame) -> DataFrame:
     """(repo_id, file_path, kinds) of the files that nobody in their repository wrote by hand.
 
     kinds are of generated, minified, lock, vendored and data. Licence files, readmes, manifests and other documents are never among
-    them. Null, empty and binary contents have no signs but those of none; rows that repeat a file give one row. An empty table of known
+    them. Null, empty and binary contents (a NUL in the first 8,192 bytes) have the signs of their path only; rows that repeat a file give one row. An empty table of known
     files finds copies across repositories only.
     """
     files = cut_lineage(examined(sources, known))

@@ -63,3 +63,12 @@ def test_whole_blobs_are_compressed():
     padding = ["A" * 100] * 15_000
     assert handwritten.literal_share("\n".join(padding[:2200] + noise)) > 0.9  # the head compresses, the whole does not
     assert handwritten.literal_share("\n".join(noise[:2200] + padding)) == 0  # the other way round
+
+
+def test_path_tells_of_binary_contents(spark):
+    gz = b"\x1f\x8b\x08\0" + bytes(R.randrange(256) for _ in range(900))
+    want = {"vendor/lib/a.py": "vendored", "web/b.min.js": "minified", "api/c_pb2.py": "generated", "yarn.lock": "lock", "src/d.py": None, "vendor/lib/LICENSE": None}
+    rows = [(n, p, s) for n, s in enumerate((gz, None)) for p in want]
+    s = spark.createDataFrame([*rows, (2, "vendor/lib/__init__.py", b"")], "repo_id long, file_path string, source binary")
+    got = {(r["repo_id"], r["file_path"]): r["kinds"] for r in handwritten.not_by_hand(s, spark.createDataFrame([], "library string, content string")).collect()}
+    assert got == {(n, p): [want[p]] for n, p, _ in rows if want[p]} | {(2, "vendor/lib/__init__.py"): ["vendored"]}
