@@ -2,7 +2,7 @@
 
 Files are lexed into rows of adjacent token pairs, which are anti-joined against the pairs that the grammar of their language permits.
 Nesting and statement productions are validated by windowed reductions of the same tokens, whose verdict joins the pairs as a
-pseudo pair that no grammar permits. Python's statements are judged by CPython's own parser, which is that grammar.
+pseudo pair that no grammar permits. Python is not lexed into pairs: CPython's own parser, which is that grammar, gives the verdict.
 """
 
 from __future__ import annotations
