@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.session import parallelism
+from sparkloom.session import cut_lineage, parallelism
 
 #: Characters after a cut that are looked at, so that a boundary at the very end of a range is seen whole.
 AHEAD = 120
@@ -59,7 +59,7 @@ def file_ranges(spark: SparkSession, files: list[str], limit: int, overlap: int,
     Offsets are bytes: a part holds one character (of ISO-8859-1) for each byte. Files within the limit have no ranges.
     """
     stride, depth = _geometry(limit, overlap)
-    sizes = [(f, os.path.getsize(f)) for f in files[:most]]
+    sizes = [(f, os.path.getsize(f)) for f in dict.fromkeys(files[:most])]
     if len(files) > most:
         raise ValueError(f"more than {most} files")
     table = spark.createDataFrame([(f, n, -(-n // stride)) for f, n in sizes if n > limit], "_key string, _n long, _many int")
@@ -107,6 +107,12 @@ def pieces(texts: DataFrame, key: str, text: str, limit: int = 6000, overlap: in
     return _pieces(ranges(texts, key, text, limit, overlap).dropDuplicates(["_key", "_k"]), key, limit, overlap)
 
 
+def _joined(r: DataFrame, table: DataFrame) -> DataFrame:
+    """The ranges with the other columns of a table of the same (_key, _k); null keys are equal."""
+    table = table.withColumnsRenamed({"_key": "_key2", "_k": "_k2"})
+    return r.join(table, F.col("_key").eqNullSafe(F.col("_key2")) & (F.col("_k") == F.col("_k2"))).drop("_key2", "_k2")
+
+
 def _pieces(r: DataFrame, key: str, limit: int, overlap: int) -> DataFrame:
     """The pieces of texts given as ranges: boundary tables stitched, lines counted by prefix sums, pieces cut by offset."""
     _, depth = _geometry(limit, overlap)
@@ -130,11 +136,13 @@ def _pieces(r: DataFrame, key: str, limit: int, overlap: int) -> DataFrame:
     r = r.withColumn("_next", F.col("_cut") - F.length("_tail") + shared)
     own = F.substring("_part", lo + 1, (F.col("_to") - F.col("_from")).cast("int"))
     r = r.withColumn("_lines", F.length(own) - F.length(F.regexp_replace(own, "\n", "")))
-    names = F.regexp_extract_all("_part", F.lit(_NAME), F.lit(1))
+    # Ranges are spread by (key, number); only the boundary table, without texts, comes together by key.
+    r = cut_lineage(r.select("_key", "_k", "_from", "_base", "_part", "_cut", "_next", "_lines"))
     by = Window.partitionBy("_key").orderBy("_k")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("_start", F.coalesce(F.lag("_next").over(by), F.lit(0).cast("long")))
-    r = r.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0).cast("long")))
+    starts = F.coalesce(F.lag("_next").over(by), F.lit(0).cast("long")).alias("_start")
+    counted = F.coalesce(F.sum("_lines").over(before), F.lit(0).cast("long")).alias("_before")
+    r = _joined(r, r.select("_key", "_k", starts, counted, F.count("*").over(Window.partitionBy("_key")).cast("int").alias("_many")))
     head = F.substring("_part", (F.col("_start") - F.col("_base")).cast("int") + 1, (F.col("_from") - F.col("_start")).cast("int"))
     r = r.withColumn("_back", F.length(head) - F.length(F.regexp_replace(head, "\n", "")))
     content = F.substring("_part", (F.col("_start") - F.col("_base")).cast("int") + 1, (F.col("_cut") - F.col("_start")).cast("int"))
@@ -142,10 +150,12 @@ def _pieces(r: DataFrame, key: str, limit: int, overlap: int) -> DataFrame:
     known = F.regexp_extract_all(F.substring("_part", F.lit(1), (F.col("_start") - F.col("_base")).cast("int")), F.lit(_NAME), F.lit(1))
     r = r.withColumn("_known", F.when(F.size(known) > 0, F.element_at(known, -1))).withColumn("_names", F.regexp_extract_all("content", F.lit(_NAME), F.lit(1)))
     last_name = F.when(F.size("_names") > 0, F.element_at("_names", -1))
-    earlier = F.coalesce("_known", F.last(last_name, ignorenulls=True).over(before))
+    last = r.select("_key", "_k", last_name.alias("_name"))
+    r = _joined(r, last.select("_key", "_k", F.last("_name", ignorenulls=True).over(before).alias("_passed")))
+    earlier = F.coalesce("_known", "_passed")
     symbol_ = F.coalesce(earlier, F.when(F.size("_names") > 0, F.element_at("_names", 1)))
     return r.select(
-        F.col("_key").alias(key), F.col("_k").alias("piece_no"), F.count("*").over(Window.partitionBy("_key")).cast("int").alias("n_pieces"), F.col("_start").alias("start"), F.col("_cut").alias("end"),
+        F.col("_key").alias(key), F.col("_k").alias("piece_no"), F.col("_many").alias("n_pieces"), F.col("_start").alias("start"), F.col("_cut").alias("end"),
         (F.col("_before") - F.col("_back")).alias("lines_before"), (F.length("content") - F.length(F.regexp_replace("content", "\n", ""))).alias("lines_in"), "content", symbol_.alias("symbol"),
     )
 

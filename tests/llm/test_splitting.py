@@ -73,3 +73,19 @@ def test_files_are_cut_by_seeking(spark, tmp_path):
             assert raw[r["start"] : r["end"]].decode() == r["content"] and r["end"] - r["start"] <= 6000 and r["lines_before"] == raw[: r["start"]].count(b"\n")
         assert all(1 <= a["end"] - b["start"] <= 400 for a, b in zip(own, own[1:]))
     assert not [r for r in got if r["file_path"].endswith("c.txt")]
+
+
+def test_windows_hold_no_texts(spark):
+    df = spark.createDataFrame([(1, code(40_000)), (None, code(30_000, 2))], "k long, t string")
+    got = splitting.pieces(df, "k", "t")
+    nodes, windows = [got._jdf.queryExecution().optimizedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Window":
+            windows.append({node.output().apply(i).name() for i in range(node.output().size())})
+    assert windows and not any({"_part", "content"} & w for w in windows)
+    for k, t in ((1, code(40_000)), (None, code(30_000, 2))):
+        own = sorted((r for r in got.collect() if r["k"] == k), key=lambda r: r["piece_no"])
+        assert own[0]["n_pieces"] == len(own) and own[-1]["end"] == len(t)
+        assert all(t[r["start"] : r["end"]] == r["content"] and r["lines_before"] == t[: r["start"]].count("\n") for r in own)
