@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.session import cut_lineage, spread
@@ -41,7 +41,7 @@ _CANDIDATES = [
 _PLAIN = ("plain", re.compile(rf"(?m)^[ \t]*(?:--|#|//|\*|-)?[ \t]*(?:export[ \t]+)?(?P<i>{_IDENT})[ \t]*[:=][ \t]*(?P<v>[^\s\"'`#;,(){{}}\[\]][^\s\"'`(){{}}\[\],]{{5,}})[ \t\r]*$"))
 #: A kind's pattern is only tried where one of these is in the content in lower case; each match of the kind has one of them.
 _GATES = {
-    "pem": ("private key",), "url": ("://",), "hook": ("hook",), "header": ("authorization", "x-"), "connection": ("password=", "pwd="), "prose": ("password", "passwd", "passphrase", "pw", "secret ", "token ", "key "),
+    "pem": ("private key",), "url": ("://",), "hook": ("hook",), "header": ("authorization", "x-"), "connection": ("password=", "pwd="), "prose": ("password", "passwd", "passphrase", "pw", "secret", "token", "key"),
     "login": ("login", "account", "cred", "-u", "--user"), "call": ("log_in(", "login(", "signin(", "sign_in(", "connect(", "session(", "auth(", "authenticate(", "authorize("), "attribute": ("content=", "value="),
     "quoted": ("pass", "pwd", "secret", "token", "key", "cred", "hook", "auth"), "format": ("ghp_", "akia", "sk_live_", "xox", "hbr.", "eyj", "glpat-", "aiza"), "plain": ("pass", "pwd", "secret", "token", "key", "cred", "hook", "auth"),
 }
@@ -53,11 +53,39 @@ _PLACEHOLDER = re.compile(
 _FORMAT = re.compile(rf"^(?:{FORMATS})")
 _CONFIG = re.compile(r"(?i)\.(?:ya?ml|toml|ini|cfg|conf|env|properties|md|txt|sh|bash|rst|sql|tf)$|(?:^|/)[^./]*$|\.env")
 _COMMENT = re.compile(r"^[ \t]*(?:--|#|//|\*)")
+#: What may stand around a line of a key; a line of a key, of which a short one is the last; what of a key is on the BEGIN line.
+_AROUND = " \t\r\n\"'`#*>|;+,\\()[]/-"
+_KEY_LINE = re.compile(r"(?=.*[A-Z0-9+/=])[A-Za-z0-9+/=]+|(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset): .*")
+_KEY_REST = re.compile(r"(?:[A-Za-z0-9+/=]|\\[nr])*")
 _BEFORE = re.compile(r"[\w.-]*\Z")
 KINDS = [k for k, _ in _CANDIDATES] + ["plain"]
 FEATURES = ["one", "likelihood", "length", "digits", "upper", "symbols", "classes", "spaces", "secret", "hash", "placeholder", "format", "doc", "hex", *KINDS]
 
 
+def key_run(content: str, at: int, begun: bool) -> tuple[int, bool]:
+    """(end of the key lines from an offset, whether they go on to the end of the content without an END line); begun: the offset is on the BEGIN line."""
+    end, short = at, False
+    if begun:
+        end = at = _KEY_REST.match(content, at).end()
+        stop = content.find("\n", at)
+        if content[at : stop if stop >= 0 else len(content)].strip(_AROUND):
+            return end, False
+        at = stop + 1 if stop >= 0 else len(content)
+    while at < len(content):
+        stop = content.find("\n", at)
+        stop = stop if stop >= 0 else len(content)
+        body, mark, _ = content[at:stop].partition("-----END")
+        body = body.replace("\\n", "").replace("\\r", "").strip(_AROUND)
+        if body and (short or not _KEY_LINE.fullmatch(body)):
+            return end, False
+        if mark:
+            return stop, False
+        if body:
+            end, short = stop, len(body) < 16
+        at = stop + 1
+    return end, True
+
+
 def candidates(content: str, path: str) -> list[tuple[str, str, int, int]]:
     """(kind, identifier, from, to) of each candidate value in a content; the first kind that finds a place has it."""
     low = content.lower()
@@ -73,9 +101,11 @@ def candidates(content: str, path: str) -> list[tuple[str, str, int, int]]:
             ident = (m.groupdict().get("i2") if second else m["i"]) or ""
             if kind == "pem":
                 a, b = m.start(), m.end()
-                end = content.find("-----END", b)
-                b = len(content) if end < 0 else (content.find("\n", end) if content.find("\n", end) > 0 else len(content))
-                b = min(b, a + 20_000) if end < 0 else b
+                end, other = content.find("-----END", b), content.find("-----BEGIN", b)
+                if end < 0 or 0 <= other < end:  # open: its key lines, however many
+                    b = key_run(content, b, True)[0]
+                else:
+                    b = content.find("\n", end) if content.find("\n", end) > 0 else len(content)
             value = content[a:b]
             if kind == "attribute" and not _SECRET.search(ident):
                 continue
@@ -96,7 +126,7 @@ def candidates(content: str, path: str) -> list[tuple[str, str, int, int]]:
 
 def features(kind: str, ident: str, value: str, path: str, model: np.ndarray) -> list[float]:
     """The features of a candidate; model: log-probability of each byte after another in all contents."""
-    raw = np.frombuffer(value[:4096].encode("utf-8", "replace"), np.uint8)
+    raw = np.frombuffer(value.encode("utf-8", "replace"), np.uint8)
     like = float(model[raw[:-1].astype(int) * 256 + raw[1:]].mean()) if len(raw) > 1 else 0.0
     n = max(1, len(value))
     digits, upper, lower = sum(c.isdigit() for c in value) / n, sum(c.isupper() for c in value) / n, sum(c.islower() for c in value) / n
@@ -196,9 +226,46 @@ def credentials(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return scored(chunks).where(F.col("score") >= threshold)
 
 
+def continued(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """(chunk_no, begin, end, value) of the key lines that carry on a private key block left open by the chunk before them in the file.
+
+    Chunks without start_line have no place in their file and carry on nothing.
+    """
+
+    def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for no, repo, path, start, header, content in zip(b["chunk_no"], b["repo_id"], b["file_path"], b["start_line"], b["header"], b["content"]):
+                at = content.find("\n") + 1 if header else 0
+                end, through = key_run(content, at, False)
+                blocks = [m.end() for m in _CANDIDATES[0][1].finditer(content)]
+                opens = bool(blocks) and "-----END" not in content[blocks[-1] :] and key_run(content, blocks[-1], True)[1]
+                if end > at or through or opens:
+                    lines = content.count("\n", at) + (not content.endswith("\n"))
+                    rows.append((no, repo, path, int(start), int(start) + lines, None if through else opens, at, end, content[at:end]))
+            yield pd.DataFrame(rows, columns=["chunk_no", "repo_id", "file_path", "first", "next", "opens", "begin", "end", "value"])
+
+    opened = found.where("kind = 'pem' AND NOT contains(value, '-----END')").select("repo_id", "file_path").distinct()
+    rows = chunks.where("content IS NOT NULL AND start_line IS NOT NULL").select("chunk_no", "repo_id", "file_path", "start_line", F.col("context_header").isNotNull().alias("header"), "content").join(opened, ["repo_id", "file_path"], "left_semi")
+    repo = chunks.schema["repo_id"].dataType.simpleString()
+    seen = cut_lineage(rows.mapInPandas(edges, f"chunk_no long, repo_id {repo}, file_path string, first long, next long, opens boolean, begin int, end int, value string"))
+    # Few rows without texts: a chunk of key lines alone passes on what the chunk before it left, a gap between lines ends it.
+    file, places = ["repo_id", "file_path"], seen.select("repo_id", "file_path", "chunk_no", "first", "next", "opens", "begin", "end")
+    before = Window.partitionBy(*file).orderBy("first").rangeBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*file).orderBy("first").rangeBetween(Window.unboundedPreceding, 0)
+    places = places.withColumn("gap", (F.col("first") > F.coalesce(F.max("next").over(before), F.lit(-1))).cast("long"))
+    places = places.withColumn("start", F.max(F.when(F.col("gap") == 1, F.col("first"))).over(upto))
+    last = F.max(F.when(F.col("opens").isNotNull(), F.struct("first", "next", "opens"))).over(before)
+    places = places.withColumn("last", last).where("end > begin AND last.opens AND last.first >= start")
+    return seen.join(places.select("chunk_no", "begin", "end").distinct(), ["chunk_no", "begin", "end"], "left_semi").select("chunk_no", "begin", "end", "value")
+
+
 def redact(chunks: DataFrame, found: DataFrame) -> DataFrame:
-    """(chunk_no, content) of the chunks with credentials, each value masked character by character but for line ends, everything else unchanged."""
-    places = found.select("chunk_no", "begin", "end", F.sha2("value", 256).alias("h"), "value").distinct()
+    """(chunk_no, content) of the chunks with credentials, each value masked character by character but for line ends, everything else unchanged.
+
+    A private key block that a chunk leaves open is masked in the chunks that carry it on, too.
+    """
+    places = found.select("chunk_no", "begin", "end", "value").unionByName(continued(chunks, found)).distinct()
 
     def mask(content: str, begins, ends, values) -> str:
         for a, b, v in zip(begins, ends, values):
