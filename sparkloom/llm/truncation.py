@@ -26,8 +26,9 @@ DEPTH = 7
 RAW = (6, 8, 12, 16)
 #: A filter of so many bits lets only contexts through that stand before the end of some text; it saves work and drops none of these.
 FILTER = 1 << 22
-#: A word is a phrase word if it has fewer different neighbours on one side; kept are words in at least one in WORDS places.
-NEIGHBOURS, WORDS, LEAST = 12, 200_000, 20
+#: A word is a phrase word if two of its places have the same neighbour on one side more often than with so many equally frequent neighbours, the
+#: same at every size of the corpus; kept are words in at least one in WORDS places, and in LEAST.
+NEIGHBOURS, WORDS, LEAST = 6, 200_000, 8
 #: Lengths within SPREAD of a length tell how often it is expected; a pile is at least PILE texts and FACTOR times that.
 SPREAD, PILE, FACTOR = 30, 5, 6.0
 HOT_PARTS = 10_000
@@ -65,11 +66,14 @@ def vocabulary(docs: DataFrame, text: str) -> dict[str, int]:
         yield out()
 
     pairs = cut_lineage(docs.select(F.col(text).alias("t")).mapInPandas(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    right = pairs.groupBy(F.col("a").alias("w")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") >= 2).alias("r"))
-    left = pairs.groupBy(F.col("b").alias("w")).agg(F.count_if(F.col("n") >= 2).alias("l"))
+    # The share of pairs of a word's places that have the same neighbour, estimated without bias.
+    n = F.col("n").cast("double")
+    same = F.try_divide(F.sum(n * (n - 1)), F.sum(n) * (F.sum(n) - 1))
+    right = pairs.groupBy(F.col("a").alias("w")).agg(F.sum("n").alias("n"), same.alias("r"))
+    left = pairs.groupBy(F.col("b").alias("w")).agg(same.alias("l"))
     total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    rows = right.join(left, "w", "left").where((F.col("n") >= 8) & (F.col("n") * WORDS >= F.lit(total))).collect()
-    phrase = lambda r: r["n"] >= LEAST and (min(r["r"], r["l"] or 0) < NEIGHBOURS or r["n"] > total * 0.004)
+    rows = right.join(left, "w", "left").where((F.col("n") >= LEAST) & (F.col("n") * WORDS >= F.lit(total))).collect()
+    phrase = lambda r: max(r["r"] or 0, r["l"] or 0) * NEIGHBOURS > 1 or r["n"] > total * 0.004
     return {r["w"]: CLOSED if phrase(r) else KNOWN for r in rows}
 
 

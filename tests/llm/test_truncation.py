@@ -51,3 +51,13 @@ def test_held_out_cuts_are_found(spark):
 def test_empty_and_blank(spark):
     assert truncation.truncated(spark.createDataFrame([], SCHEMA)).count() == 0
     assert truncation.truncated(spark.createDataFrame([(1, " ", None, None, "x", 1), (2, None, None, None, "x", 1)], SCHEMA)).count() == 0
+
+
+def test_classes_do_not_depend_on_size(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    filler = [word() for _ in range(800)]
+    rows = ["gamma alpha beta"] * 40 + [f"{word()} alpha {word()}" for _ in range(14)] + [" ".join(r.choices(filler, k=200)) for _ in range(120)]
+    one, ten = (truncation.vocabulary(spark.createDataFrame([(t,) for t in rows * n], "text string"), "text") for n in (1, 10))
+    assert one["alpha"] == ten["alpha"] == truncation.CLOSED
+    assert all(one[w] == ten[w] == truncation.KNOWN for w in filler if w in one and w in ten)
