@@ -13,9 +13,11 @@ from functools import lru_cache
 
 import regex
 
-#: First character for terminals, and for reduced groups: GROUP + 512 * kind of bracket + mask of readings.
+#: First character for terminals, and for reduced groups: GROUP + 512 * kind of bracket + mask of readings; the kind after the last is a segment.
 TERMINAL, GROUP = 0x100, 0xF0000
-OPEN, CLOSE = "([{", ")]}"
+#: The last kind are blocks by indentation, whose brackets the lexer makes.
+OPEN, CLOSE = "([{«", ")]}»"
+SEGMENT = len(OPEN)
 _LEX = regex.compile(r"\s*(?:'([^'\s]+)'|([A-Za-z_]\w*)|([()|?*+!&$]))")
 
 
@@ -29,7 +31,7 @@ class Grammar:
         for name, side in self._lines(groups):
             self.groups[name] = side[0], side[1:]
         self.start, self.terminals = start, {}
-        for t in "([{)]}":
+        for t in OPEN + CLOSE:
             self.char(t)
         for t in ends:
             self.char(t)
@@ -107,7 +109,7 @@ class Grammar:
     # Patterns.
     def _group_class(self, name: str) -> str:
         bit = self.bits[name]
-        base = GROUP + 512 * (3 if name in self.segments else OPEN.index(self.groups[name][0]))
+        base = GROUP + 512 * (SEGMENT if name in self.segments else OPEN.index(self.groups[name][0]))
         return "[" + "".join(chr(base + m) for m in range(512) if m >> bit & 1) + "]"
 
     def _pattern(self, node, used: set[str]) -> str:
@@ -215,6 +217,7 @@ class Reducer:
         self.memo: dict[str, str] = {}
         self.seen: dict[str, str] = {}
         self.bodies: dict[str, int] = {}
+        self.bad = self.crossed = False
         o, c = "".join(map(g.char, OPEN)), "".join(map(g.char, CLOSE))
         self.pair = {g.char(x): g.char(CLOSE[OPEN.index(x)]) for x in OPEN}
         self.kind = {g.char(x): OPEN.index(x) for x in OPEN}
@@ -242,7 +245,7 @@ class Reducer:
                 for bit, p in self.g.matchers["segment"]:
                     if p.match(text):
                         mask |= 1 << bit
-                r = chr(GROUP + 512 * 3 + mask) if mask else ""
+                r = chr(GROUP + 512 * SEGMENT + mask) if mask else ""
                 if len(seen) > self.most:
                     seen.clear()
                 seen[text] = r
@@ -271,32 +274,39 @@ class Reducer:
         if r is None:
             kind = self.kind[text[0]]
             mask = 0
-            if self.pair[text[0]] == text[-1]:
+            if self.pair[text[0]] != text[-1]:
+                self.crossed = True
+            else:
                 whole = text[1:-1]
-                body = self._segments(whole) if kind == 2 else whole
+                body = self._segments(whole) if kind >= 2 else whole
                 mask = self._readings(kind, body)
                 if not mask and body != whole:  # a statement that goes on after the end of a segment, as with else
                     mask = self._readings(kind, whole)
             r = chr(GROUP + 512 * kind + mask) if mask else ""
             if len(self.memo) > self.most:
                 self.memo.clear()
-            self.memo[text] = r
+            if not self.crossed:
+                self.memo[text] = r
         if not r:
             self.bad = True
         return r
 
-    def accepts(self, s: str) -> bool:
-        """Whether the grammar derives the string of terminals."""
-        self.bad = False
+    def rejects(self, s: str) -> str | None:
+        """Why the grammar does not derive the string of terminals: nesting or structure; None if it does."""
+        self.bad = self.crossed = False
         s = self.list.sub(self.short, s)
         while True:
             s, n = self.inner.subn(self._group, s)
             if self.bad:
-                return False
+                return "nesting" if self.crossed else "structure"
             if not n:
                 break
         if self.any.search(s):
-            return False
+            return "nesting"
         short = self._segments(s)
         p = self.g.matchers["start"]
-        return p.match(short) is not None or short != s and p.match(s) is not None
+        return None if p.match(short) is not None or short != s and p.match(s) is not None else "structure"
+
+    def accepts(self, s: str) -> bool:
+        """Whether the grammar derives the string of terminals."""
+        return self.rejects(s) is None
