@@ -115,15 +115,13 @@ def license_of_text(c: Column) -> Column:
     return out
 
 
-# Empty phrases that a review objects to.
-_VERBS = r"(?:promot(?:es?|ing)|ensur(?:es?|ing)|improv(?:es?|ing)|enhanc(?:es?|ing))"
-_NOUNS = r"(?:flexibility|maintainability|scalability|reliability|efficiency|consistency)"
-BANNED = [
-    rf"(?i){_VERBS}\s+{_NOUNS}(?:(?:\s*,\s*(?:and\s+)?|\s+and\s+){_NOUNS})*",
-    r"(?i)significantly\s+improves?\s+performance",
-    r"(?i)robust\s+and\s+(?:reliable|scalable|maintainable)",
-    r"(?i)seamless(?:ly)?",
-]
+# Empty phrases that a review objects to, as patterns.
+BANNED_VERBS = ["promotes?", "promoting", "ensures?", "ensuring", "improves?", "improving", "enhances?", "enhancing"]
+BANNED_NOUNS = ["flexibility", "maintainability", "scalability", "reliability", "efficiency", "consistency"]
+BANNED_OTHERS = ["significantly improves? performance", "robust and (?:reliable|scalable|maintainable)", "seamless(?:ly)?"]
+_NOUN = f"(?:{'|'.join(BANNED_NOUNS)})"
+#: A verb with one of the nouns or a list of them, and the others.
+BANNED = [f"(?i){p}" for p in (rf"(?:{'|'.join(BANNED_VERBS)})\s+{_NOUN}(?:\s*,?\s*(?:and\s+)?{_NOUN})*", *BANNED_OTHERS)]
 
 
 def banned_phrases(c: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import os
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import cut_lineage
+
 MEMO = "repository_path string, relative_path string, record_type string, content_hash string, payload string, updated_at timestamp"
 KEY = ["repository_path", "relative_path", "record_type"]
 
@@ -47,33 +50,91 @@ def split_by_memo(wanted: DataFrame, memo: DataFrame, keys: list[str], value: st
 
 
 class Store:
-    """A Parquet table that is replaced as a whole: written beside, then renamed, so a reader never sees half of it."""
+    """A Parquet table in buckets by the hash of its key. Every change writes new folders and then a numbered manifest that names the folders that
+    count, so a reader finds the old table or the new one at any time, and an upsert rewrites only the buckets it touches.
+    """
+
+    BUCKETS = 64
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, partition: str | None = None):
-        self.spark, self.path, self.schema, self.partition = spark, path, schema, partition
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
 
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+    def _fs(self, *more: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path("/".join((self.path, *more)))
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def exists(self) -> bool:
+    def _manifests(self) -> list[str]:
+        """The names of the manifests, oldest first."""
         fs, p = self._fs()
-        return fs.exists(p)
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(n for n in names if n.startswith("_manifest-"))
+
+    def _load(self, name: str) -> dict:
+        fs, p = self._fs(name)
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _manifest(self) -> dict | None:
+        """{keys, parts: bucket -> folder} of the table as it is."""
+        names = self._manifests()
+        return self._load(names[-1]) if names else None
+
+    def _commit(self, keys: list[str], parts: dict[str, str]) -> None:
+        names = self._manifests()
+        after = f"_manifest-{int(names[-1].split('-')[1]) + 1 if names else 0:012d}"
+        fs, beside = self._fs(f"_next-{uuid.uuid4().hex}")
+        out = fs.create(beside, True)
+        out.write(bytearray(json.dumps({"keys": keys, "parts": parts}).encode()))
+        out.close()
+        if not fs.rename(beside, self._fs(after)[1]):
+            raise OSError(f"another writer has changed {self.path}")
+        # Folders that neither this manifest nor the one before names are no longer read.
+        kept = set(parts.values()) | (set(self._load(names[-1])["parts"].values()) if names else set())
+        kept = {k.split("/")[0] for k in kept}
+        for s in fs.listStatus(self._fs()[1]):
+            n = s.getPath().getName()
+            if n.startswith("data-") and n not in kept or n in names[:-1]:
+                fs.delete(s.getPath(), True)
+
+    def exists(self) -> bool:
+        return bool(self._manifests())
+
+    def _read(self, parts: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{p}" for p in parts)) if parts else self.spark.createDataFrame([], self.schema)
 
     def read(self) -> DataFrame:
         """The rows; none if the table is missing."""
-        return self.spark.read.schema(self.schema).parquet(self.path) if self.exists() else self.spark.createDataFrame([], self.schema)
+        m = self._manifest()
+        return self._read(list(m["parts"].values()) if m else [])
 
-    def write(self, rows: DataFrame) -> None:
-        beside = f"{self.path}.next-{os.getpid()}"
-        w = rows.write.mode("overwrite")
-        (w.partitionBy(self.partition) if self.partition else w).parquet(beside)
-        fs, p = self._fs()
-        fs.delete(p, True)
-        fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(beside), p)
+    def _bucket(self, keys: list[str]):
+        return F.pmod(F.xxhash64(*keys), F.lit(self.BUCKETS)).cast("int")
+
+    def _save(self, rows: DataFrame, keys: list[str]) -> dict[str, str]:
+        """Bucket -> folder of the rows, as written."""
+        folder = f"data-{uuid.uuid4().hex}"
+        rows.withColumn("_bucket", self._bucket(keys)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        fs, p = self._fs(folder)
+        names = [s.getPath().getName() for s in fs.listStatus(p)]  # at most BUCKETS
+        return {n.split("=")[1]: f"{folder}/{n}" for n in names if n.startswith("_bucket=")}
+
+    def write(self, rows: DataFrame, keys: list[str] | None = None) -> None:
+        """Replaces the table."""
+        keys = keys or [rows.columns[0]]
+        self._commit(keys, self._save(rows, keys))
 
     def upsert(self, rows: DataFrame, keys: list[str]) -> None:
-        self.write(upsert(self.read(), rows, keys))
+        m = self._manifest()
+        if m is None or m["keys"] != keys:
+            self.write(upsert(self.read(), rows, keys), keys)
+            return
+        rows = cut_lineage(rows.dropDuplicates(keys))
+        touched = {str(r[0]) for r in rows.select(self._bucket(keys)).distinct().collect()}  # at most BUCKETS
+        old = self._read([p for b, p in m["parts"].items() if b in touched])
+        self._commit(keys, m["parts"] | self._save(upsert(old, rows, keys), keys))
 
     def clear(self) -> None:
         fs, p = self._fs()
@@ -112,9 +173,12 @@ def merge_statistics(rows: DataFrame, counters: list[str]) -> DataFrame:
 
 
 def batches(rows: DataFrame, size: int, order: str) -> DataFrame:
-    """The rows with a batch number; batches have size rows each but the last of every partition of the order."""
+    """The rows with the number of their batch in the order of a column; all batches have size rows but the last."""
     if size <= 0:
         raise ValueError("size must be positive")
     w = Window.partitionBy("_part").orderBy(order)
-    numbered = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).withColumn("_i", F.row_number().over(w) - 1)
-    return numbered.withColumn("batch", F.struct("_part", F.floor(F.col("_i") / size).alias("n"))).drop("_part", "_i")
+    numbered = cut_lineage(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()).withColumn("_i", F.row_number().over(w) - 1))
+    # One row for each partition.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = numbered.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return numbered.join(F.broadcast(offsets), "_part").withColumn("batch", F.floor((F.col("_before") + F.col("_i")) / size)).drop("_part", "_i", "_before")

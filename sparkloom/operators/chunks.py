@@ -6,8 +6,10 @@ depends on what was packed before and so runs file by file, one file being the u
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,8 +59,33 @@ def _by_lines(source: bytes, a: int, b: int, limit: int) -> list[tuple[int, int]
     return out
 
 
-def _split(source: bytes, symbol: dict, children: list[dict], limit: int) -> list[dict]:
+class _Lengths:
+    """Code points of spans of a source by prefix sums, so that no span is decoded again and again; bytes that do not decode count as they are shown."""
+
+    def __init__(self, source: bytes):
+        self.source = source
+        self.sums = None
+        if not source.isascii():
+            try:
+                source.decode("utf-8")
+            except UnicodeDecodeError:
+                return
+            starts = (np.frombuffer(source, np.uint8) & 0xC0) != 0x80
+            self.sums = np.concatenate([[0], np.cumsum(starts)])
+        self.plain = self.sums is None
+
+    plain = None
+
+    def tokens(self, a: int, b: int) -> int:
+        """The estimate of the tokens of source[a:b]."""
+        if self.plain is None:
+            return _estimate(_decode(self.source[a:b]))
+        return max(1, (b - a if self.plain else int(self.sums[b] - self.sums[a])) // 4)
+
+
+def _split(sizes: _Lengths, symbol: dict, children: list[dict], limit: int) -> list[dict]:
     """An oversized symbol at the ends of its members, which keep what is before them; small neighbours are joined, larger ones cut at lines."""
+    source = sizes.source
     cuts, at = [], symbol["start_byte"]
     for c in children:
         if c["end_byte"] > at:
@@ -70,9 +97,9 @@ def _split(source: bytes, symbol: dict, children: list[dict], limit: int) -> lis
         cuts = [(a, b, [symbol["name"]]) for a, b in _by_lines(source, symbol["start_byte"], symbol["end_byte"], 4 * limit)]
     pieces: list[tuple[int, int, list[str]]] = []
     for a, b, names in cuts:
-        if pieces and _estimate(_decode(source[pieces[-1][0] : b])) <= limit:
+        if pieces and sizes.tokens(pieces[-1][0], b) <= limit:
             pieces[-1] = (pieces[-1][0], b, pieces[-1][2] + names)
-        elif _estimate(_decode(source[a:b])) > 2 * limit:
+        elif sizes.tokens(a, b) > 2 * limit:
             pieces += [(x, y, names) for x, y in _by_lines(source, a, b, 4 * limit)]
         else:
             pieces.append((a, b, names))
@@ -82,7 +109,9 @@ def _split(source: bytes, symbol: dict, children: list[dict], limit: int) -> lis
 
 def pack(source: bytes, symbols: list[dict], limit: int) -> list[tuple]:
     """The chunks of a file, in order; together they cover all but white space."""
+    sizes = _Lengths(source)
     ordered = sorted(symbols, key=lambda s: (s["start_byte"], -s["end_byte"]))
+    starts = [s["start_byte"] for s in ordered]
     tops, reach = [], -1
     for s in ordered:
         if s["end_byte"] > reach:
@@ -91,30 +120,34 @@ def pack(source: bytes, symbols: list[dict], limit: int) -> list[tuple]:
     units, at = [], 0
     gap = lambda a, b: [{"a": x, "b": y, "names": [], "partial": y - x < b - a, "parent": None, "header": None} for x, y in _by_lines(source, a, b, 4 * limit)] if source[a:b].strip() else []
     for s in tops:
+        # Symbols in order of their start: those of this one are a run of them.
+        own = [x for x in ordered[bisect_left(starts, s["start_byte"]) : bisect_left(starts, s["end_byte"])] if x["end_byte"] <= s["end_byte"]]
         a = max(at, s["start_byte"])
         units += gap(at, a)
-        if _estimate(_decode(source[a : s["end_byte"]])) <= limit:
-            units.append({"a": a, "b": s["end_byte"], "names": [x["name"] for x in ordered if x["start_byte"] >= s["start_byte"] and x["end_byte"] <= s["end_byte"] and (x is s or s["kind"] != "function")], "partial": False, "parent": None, "header": None})
+        if sizes.tokens(a, s["end_byte"]) <= limit:
+            units.append({"a": a, "b": s["end_byte"], "names": [x["name"] for x in own if x is s or s["kind"] != "function"], "partial": False, "parent": None, "header": None})
         else:
-            inner = [x for x in ordered if x is not s and x["start_byte"] >= s["start_byte"] and x["end_byte"] <= s["end_byte"] and x["parent"] == s["name"]]
-            units += _split(source, s | {"start_byte": a}, inner, limit)
+            inner = [x for x in own if x is not s and x["parent"] == s["name"]]
+            units += _split(sizes, s | {"start_byte": a}, inner, limit)
         at = max(at, s["end_byte"])
     units += gap(at, len(source))
     packed: list[dict] = []
     open_ = False
     for u in units:
-        if open_ and not u["partial"] and _estimate(_decode(source[packed[-1]["a"] : u["b"]])) <= limit:
+        if open_ and not u["partial"] and sizes.tokens(packed[-1]["a"], u["b"]) <= limit:
             packed[-1]["b"] = u["b"]
             packed[-1]["names"] = packed[-1]["names"] + u["names"]
         else:
             packed.append(dict(u))
         open_ = not u["partial"]
     out = []
+    first, counted = 1, 0
     for u in packed:
         body = _decode(source[u["a"] : u["b"]])
         content = f"{u['header']}\n\n{body}" if u["header"] else body
-        first = source.count(b"\n", 0, u["a"]) + 1
-        out.append((first, first + source[u["a"] : max(u["a"], u["b"] - 1)].count(b"\n"), u["a"], u["b"], content, list(dict.fromkeys(u["names"])), u["parent"], u["partial"], u["header"], _estimate(content)))
+        first += source.count(b"\n", counted, u["a"])
+        counted = u["a"]
+        out.append((first, first + source.count(b"\n", u["a"], max(u["a"], u["b"] - 1)), u["a"], u["b"], content, list(dict.fromkeys(u["names"])), u["parent"], u["partial"], u["header"], _estimate(content)))
     return out
 
 

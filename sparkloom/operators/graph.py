@@ -11,10 +11,11 @@ def degrees(edges: DataFrame, keys: list[str]) -> DataFrame:
 
     One pass: each edge gives its own count and one row a target, so there is one shuffle and no join.
     """
-    targets = F.transform(F.array_distinct("targets"), lambda t: F.struct(t.alias("file"), F.lit(1).cast("long").alias("i"), F.lit(0).cast("long").alias("o")))
-    own = F.array(F.struct(F.col("source").alias("file"), F.lit(0).cast("long").alias("i"), F.size("targets").cast("long").alias("o")))
-    each = edges.select(*keys, F.explode(F.concat(targets, own)).alias("x"))
-    return each.groupBy(*keys, F.col("x.file").alias("file")).agg(F.sum("x.i").alias("dependents"), F.sum("x.o").alias("dependencies")).withColumn("degree", F.col("dependents") + F.col("dependencies"))
+    # Plain columns, so the sums stay in generated code; a null target stands for the edge itself.
+    each = edges.select(*keys, "source", F.size("targets").alias("n"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("targets"))).alias("t"))
+    own = F.col("t").isNull()
+    rows = each.select(*keys, F.coalesce("t", "source").alias("file"), F.when(own, 0).otherwise(1).alias("i"), F.when(own, F.col("n")).otherwise(0).alias("o"))
+    return rows.groupBy(*keys, "file").agg(F.sum("i").alias("dependents"), F.sum("o").alias("dependencies")).withColumn("degree", F.col("dependents") + F.col("dependencies"))
 
 
 def top_files(files: DataFrame, scores: DataFrame, keys: list[str], score: str, n: int) -> DataFrame:
@@ -31,6 +32,11 @@ def adjacency(edges: DataFrame, keys: list[str]) -> DataFrame:
     return edges.where(F.size("targets") > 0).groupBy(*keys, "source").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("targets")))).alias("targets"))
 
 
+def fan_out(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, source and the number of its distinct targets; no list of them is built."""
+    return edges.select(*keys, "source", F.explode("targets").alias("t")).groupBy(*keys, "source").agg(F.countDistinct("t").alias("targets"))
+
+
 def file_edges(edges: DataFrame, keys: list[str]) -> DataFrame:
     """keys, source, target: each pair once."""
     return edges.select(*keys, "source", F.explode("targets").alias("target")).distinct()

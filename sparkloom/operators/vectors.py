@@ -60,9 +60,16 @@ def search_many(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int
                 for lo in range(0, len(names_), block):
                     q = matrix_[lo : lo + block]
                     d = (q**2).sum(1)[:, None] - 2 * q @ x.T + (x**2).sum(1)[None]
-                    top = np.argpartition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(q), 1))
-                    exact = ((q[:, None].astype("f8") - x[top].astype("f8")) ** 2).sum(-1)
-                    yield pd.DataFrame({"query": np.repeat(names_[lo : lo + block], top.shape[1]), "id": ids[top].ravel(), "distance": exact.ravel()})
+                    # All that float rounding may put among the k nearest are measured exactly.
+                    if d.shape[1] > k:
+                        slack = 1e-5 * ((q**2).sum(1)[:, None] + (x**2).sum(1).max())
+                        row, col = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] + slack)
+                    else:
+                        row, col = (i.ravel() for i in np.indices(d.shape))
+                    for at in range(0, len(row), 100_000):
+                        r, c = row[at : at + 100_000], col[at : at + 100_000]
+                        exact = ((q[r].astype("f8") - x[c].astype("f8")) ** 2).sum(-1)
+                        yield pd.DataFrame({"query": names_[lo : lo + block][r], "id": ids[c], "distance": exact})
 
         rows = vectors.select("id", "vector").where("vector IS NOT NULL").mapInPandas(run, f"query {kind}, id {name}, distance double")
         local = rows if local is None else local.unionByName(rows)
@@ -88,7 +95,7 @@ class VectorStore(Store):
         good = records.where("error IS NULL") if "error" in records.columns else records
         good = good.select(*(c.split()[0] for c in STORED.split(", ")))
         if not good.isEmpty():
-            self.write(good)
+            self.write(good, ["id"])
 
     def merge(self, records: DataFrame) -> None:
         self.upsert(records.select(*(c.split()[0] for c in STORED.split(", "))), ["id"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import paths
-from sparkloom.functions.text import BANNED, LICENSE_RULES, banned_phrases, content_hash, duration, first_sentence, github_repository, license_of_text, slug, token_estimate, word_count
+from sparkloom.functions.text import BANNED, LICENSE_RULES, banned_phrases, content_hash, duration, first_sentence, github_repository, go_module, license_of_text, slug, token_estimate, word_count
 from sparkloom.operators import changes, documentation, graph, imports, review, vectors
 from sparkloom.operators import chunks as chunk_ops
 from sparkloom.session import cut_lineage
@@ -62,8 +62,7 @@ def token_estimates(spark, d):
     return table(spark, d, "documents").where(x.isNotNull()).select("doc_id", token_estimate(x).alias("tokens"), word_count(x).alias("words"))
 
 
-_LANGUAGES = {e: name for name, endings in paths.EXTENSIONS.items() for e in endings.split()}
-_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in _LANGUAGES.items())
+_VALUES = ", ".join(f"('{k}', '{v}')" for k, v in paths.EXTENSIONS.items())
 _NAMED = ", ".join(f"('{k}', '{v}')" for k, v in paths.NAMES.items())
 
 
@@ -174,8 +173,19 @@ def greedy_packs(spark, d):
 
 # ---------------------------------------------------------------- structure of the sources
 def _files(spark, d):
-    s = table(spark, d, "sources")
-    return s.groupBy("repo_id", "file_path").agg(F.max_by("source", F.octet_length("source")).alias("source")).withColumn("language", paths.language(F.col("file_path")))
+    """Each file once: of rows that repeat its key the longest, of equally long ones the one of the larger hash. Only hashes are compared and grouped."""
+    s = table(spark, d, "sources").select("repo_id", "file_path", "source", F.octet_length("source").alias("_n"), F.xxhash64("source").alias("_h"))
+    one = s.groupBy("repo_id", "file_path").agg(F.max(F.struct("_n", "_h")).alias("_x"), F.count("*").alias("_c"))
+    alone, again = one.where("_c = 1").select("repo_id", "file_path"), one.where("_c > 1").select("repo_id", "file_path", F.col("_x._n").alias("_n"), F.col("_x._h").alias("_h"))
+    first = s.join(alone, ["repo_id", "file_path"], "left_semi").drop("_n", "_h")
+    rest = s.join(again, ["repo_id", "file_path", "_n", "_h"], "left_semi").dropDuplicates(["repo_id", "file_path"]).drop("_n", "_h")
+    return first.unionByName(rest).withColumn("language", paths.language(F.col("file_path")))
+
+
+def _go_modules(files):
+    """The module of each repository's go.mod, the topmost of several."""
+    own = files.where(paths.basename(F.col("file_path")) == "go.mod").select("repo_id", "file_path", go_module(F.decode("source", "UTF-8")).alias("go_module"))
+    return own.groupBy("repo_id").agg(F.min_by("go_module", F.struct(F.length("file_path"), "file_path")).alias("go_module"))
 
 
 @query()
@@ -190,7 +200,7 @@ def import_edges(spark, d):
     """Imports resolved to files of their repository."""
     f = _files(spark, d)
     i = import_rows(parse(f, ["repo_id", "file_path"]), ["repo_id", "file_path"])
-    return imports.resolve(i, f, ["repo_id"])
+    return imports.resolve(i, f, ["repo_id"], _go_modules(f))
 
 
 @query()
@@ -200,7 +210,7 @@ def knowledge_graph(spark, d):
     p = cut_lineage(parse(f, ["repo_id", "file_path"]))
     s, i = symbol_rows(p, ["repo_id", "file_path"]), import_rows(p, ["repo_id", "file_path"])
     known = p.select("repo_id", "file_path", "language")
-    nodes, edges = graph.knowledge_nodes(known, s, None, ["repo_id"]), graph.knowledge_edges(known, s, imports.resolve(i, f, ["repo_id"]), ["repo_id"])
+    nodes, edges = graph.knowledge_nodes(known, s, None, ["repo_id"]), graph.knowledge_edges(known, s, imports.resolve(i, f, ["repo_id"], _go_modules(f)), ["repo_id"])
     return nodes.groupBy("repo_id", F.concat(F.lit("node "), "node_type").alias("what")).count().unionByName(edges.groupBy("repo_id", F.concat(F.lit("edge "), "edge_type").alias("what")).count())
 
 
@@ -329,7 +339,14 @@ def degree_top25(spark, d):
 
 @query("SELECT 's' || l_suppkey AS source, count(DISTINCT l_partkey) AS targets FROM lineitem GROUP BY 1")
 def adjacency_sizes(spark, d):
-    return graph.adjacency(_supply(spark, d), []).select("source", F.size("targets").cast("bigint").alias("targets"))
+    return graph.fan_out(_supply(spark, d), [])
+
+
+@query("SELECT 's' || l_suppkey AS source, list_transform(list_sort(list(DISTINCT l_partkey)), lambda x: x) AS parts FROM lineitem WHERE l_suppkey % 100 = 0 GROUP BY 1")
+def adjacency_lists(spark, d):
+    """The sorted lists of distinct targets of the sources whose number is divisible by 100."""
+    own = graph.adjacency(_supply(spark, d).where("CAST(substring(source, 2) AS BIGINT) % 100 = 0"), [])
+    return own.select("source", F.array_sort(F.transform("targets", lambda t: F.substring(t, F.lit(2), F.length(t)).cast("bigint"))).alias("parts"))
 
 
 @query("SELECT DISTINCT 'p' || l_partkey AS file, 'depends on' AS direction FROM lineitem WHERE l_suppkey = 1")

@@ -7,6 +7,7 @@ depths at which a language has them.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from sparkloom.sources.parsers.model import Import, Parsed, Symbol, parameter
 
@@ -25,6 +26,7 @@ class Source:
         self.code = _SKIP[family].sub(lambda m: re.sub(rb"[^\n]", b" ", m[0]), source)
         self.partner: dict[int, int] = {}
         self.depth_at: list[tuple[int, int]] = []
+        self.line_ends: list[int] | None = None
         self.balanced = True
         stack = []
         for m in re.finditer(rb"[{}]", self.code):
@@ -40,15 +42,18 @@ class Source:
         return self.source[a:b].decode("utf-8", "replace")
 
     def line(self, at: int) -> int:
-        return self.source.count(b"\n", 0, at)
+        """Line ends before a place, from a table made once."""
+        if self.line_ends is None:
+            self.line_ends = [m.start() for m in re.finditer(rb"\n", self.source)]
+        return bisect_left(self.line_ends, at)
 
     def close(self, at: int, opening: bytes = b"(", closing: bytes = b")") -> int:
         """The end of the bracket group that opens at a place."""
         level = 0
-        for m in re.finditer(re.escape(opening) + b"|" + re.escape(closing), self.code[at:]):
+        for m in re.compile(re.escape(opening) + b"|" + re.escape(closing)).finditer(self.code, at):
             level += 1 if m[0] == opening else -1
             if not level:
-                return at + m.end()
+                return m.end()
         return len(self.code)
 
     def body(self, at: int) -> tuple[int, int] | None:
@@ -136,7 +141,7 @@ def javascript(path: str, source: bytes) -> Parsed:
                 continue
             out.symbols.append(s.symbol(name, kind, m.start(), block[1], block[0], is_exported=exported))
             if kind == "class":
-                _js_methods(s, name, block, exported, out)
+                _js_methods(s, name, block, out)
     for m in _JS_IMPORT.finditer(source):
         module = (m["module"] or m["required"]).decode("utf-8", "replace")
         clause = (m["clause"] or b"").decode("utf-8", "replace")
@@ -155,8 +160,6 @@ def _top_level(s: Source):
     for a, b in sorted(s.partner.items()):
         if not spans or a > spans[-1][1]:
             spans.append((a, b))
-    from bisect import bisect_right
-
     starts = [a for a, _ in spans]
 
     def test(at: int) -> bool:
@@ -166,7 +169,7 @@ def _top_level(s: Source):
     return test
 
 
-def _js_methods(s: Source, parent: str, block: tuple[int, int], exported: bool, out: Parsed) -> None:
+def _js_methods(s: Source, parent: str, block: tuple[int, int], out: Parsed) -> None:
     at = block[0] + 1
     while True:
         m = _JS_METHOD.search(s.code, at, block[1])
@@ -180,7 +183,7 @@ def _js_methods(s: Source, parent: str, block: tuple[int, int], exported: bool,
             continue
         start = m.start() + len(m[0]) - len(m[0].lstrip())
         returns = re.match(r"\s*:\s*([^{]+)", s.text(close, body[0]))
-        out.symbols.append(s.symbol(name, "method", start, body[1], body[0], parent=parent, return_type=returns[1].strip() if returns else None, parameters=_js_parameters(s.text(m.end(), close - 1)), is_exported=exported and not name.startswith("#")))
+        out.symbols.append(s.symbol(name, "method", start, body[1], body[0], parent=parent, return_type=returns[1].strip() if returns else None, parameters=_js_parameters(s.text(m.end(), close - 1)), is_exported=not name.startswith("#")))
         at = body[1]
 
 

@@ -34,12 +34,15 @@ def into_store(stream: DataFrame, store: Store, keys: list[str], checkpoint: str
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def file_updates(stream: DataFrame, memo: Memo, repository: str, changed: Callable[[DataFrame], None], checkpoint: str):
-    """A query over (relative_path, content_hash, ...) rows that passes on what changed since the memo and then saves the hashes."""
+def file_updates(stream: DataFrame, memo: Memo, repository: str, changed: Callable[[DataFrame], None], checkpoint: str, order: str = "mtime"):
+    """A query over (relative_path, content_hash, order, ...) rows that passes on what changed since the memo and then saves the hashes.
+
+    Of several versions of a file in one batch the one of the highest order counts, of equal ones that of the larger hash.
+    """
     from sparkloom.operators.changes import diff, latest
 
     def handle(batch: DataFrame, _: int) -> None:
-        rows = latest(batch, ["relative_path"], "content_hash") if not batch.isEmpty() else batch
+        rows = latest(batch, ["relative_path"], order, "content_hash")
         new = diff(rows, memo.hashes(repository)).where("status IN ('added', 'modified')")
         changed(rows.join(new, "relative_path"))
         memo.save(repository, "file_hash", rows.select("relative_path", "content_hash"))

@@ -72,10 +72,11 @@ def test_streams(spark, tmp_path):
     seen = []
     memo = Memo(spark, str(tmp_path / "memo"))
     hashes = str(tmp_path / "hashes")
-    spark.createDataFrame([("a", "1"), ("b", "2")], "relative_path string, content_hash string").write.parquet(hashes)
-    files = spark.readStream.schema("relative_path string, content_hash string").parquet(hashes)
+    # a has two versions in one batch: the newer one has the smaller hash.
+    spark.createDataFrame([("a", "9", 1.0), ("a", "1", 2.0), ("b", "2", 1.0)], "relative_path string, content_hash string, mtime double").coalesce(1).write.parquet(hashes)
+    files = spark.readStream.schema("relative_path string, content_hash string, mtime double").parquet(hashes)
     events.file_updates(files, memo, "r", lambda df: seen.extend(sorted(r["relative_path"] for r in df.collect())), str(tmp_path / "ck2")).awaitTermination(60)
-    assert seen == ["a", "b"] and memo.hashes("r").count() == 2
+    assert seen == ["a", "b"] and sorted(tuple(r) for r in memo.hashes("r").collect()) == [("a", "1"), ("b", "2")]
 
 
 def test_catalogue_against_sql(spark):
