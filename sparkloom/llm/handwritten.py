@@ -1,12 +1,13 @@
 """Generated, minified or vendored source files, lock files and data saved as code.
 
-Token sequences of files are compressed by Re-Pair. Rules that repeat one phrase over most of a file mark it as machine-made;
-literals that hold most of a file and do not compress mark data; rules over lines that a file shares with known third-party files or
-with files of other repositories mark copies. Statements about a file in its own comments and its place in the tree complete this.
+Token sequences of files are compressed by Re-Pair. A file most of whose tokens stand below long rules is machine-made; literals that hold most of
+a file and that a grammar of their characters hardly shortens mark data; phrases below rules that a file shares with known third-party files or with files of
+other repositories, found by joins on the rules, mark copies. Statements about a file in its own comments and its place in the tree complete this.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -20,14 +21,18 @@ from sparkloom.llm.licenses import comments
 from sparkloom.llm.repair import grammars
 from sparkloom.session import cut_lineage, spread
 
-#: Share of a file's rules from one known third-party file, from files of other repositories; share of periodic tokens.
-KNOWN, SHARED, PERIODIC = 0.15, 0.8, 0.5
-#: A copy shares at least so many rules; sharing across repositories is asked of files with at least so many rules.
-LEAST_RULES, LEAST_SHARED = 5, 20
-#: Different numbers that a file with a repeating phrase has at least.
-NUMBERED = 12
-#: A rule in more than one in HOT_PARTS places, and in more than 100, is hot: there are at most HOT_PARTS of them. Known files: a bounded reference table.
-HOT_PARTS, MOST_KNOWN = 10_000, 2_000_000
+#: Share of a file's tokens below long rules from which it is machine-made, if it has NUMBERED different numbers or more.
+REUSED, NUMBERED = 0.85, 12
+#: Share of a file's phrases from one known library, and from other repositories; a copy shares at least so many of them.
+KNOWN, LEAST_KNOWN, SHARED, LEAST_SHARED = 0.1, 3, 0.6, 10
+#: Literals whose grammar takes at least this share of their bits are hardly compressible.
+DENSE = 0.8
+#: Share of a text in literals from which it is data.
+DATA = 0.5
+#: A phrase in more than one in HOT_PARTS places is hot: there are at most HOT_PARTS of them.
+HOT_PARTS = 10_000
+#: Tokens that are compressed at once, about; a file is never divided.
+AT_ONCE = 200_000
 
 # Words that are structure, not names; places and statements that mark files nobody wrote by hand.
 _WORDS = frozenset(
@@ -49,37 +54,31 @@ _NOT_SOURCE = re.compile(r"(?i)(?:^|/)(?:licen[sc]e|copying|notice|readme|change
 
 
 class Classes(dict):
-    """Token -> class: structural words and punctuation as they are, names, numbers and strings each as one class. Filled as tokens come."""
+    """Token -> number of its text, whose last 16 bits tell its class: structural words and punctuation are classes of their own, names, numbers and strings one each. Filled as tokens come."""
 
     def __init__(self, most: int = 500_000):
         super().__init__()
-        self.ids, self.most = {}, most
+        self.most = most
 
     def __missing__(self, t: str) -> int:
         c = t[0]
         k = t if t in _WORDS else "i" if c.isalpha() or c in "_$" else "0" if c.isdigit() or len(t) > 1 and c == "-" else "s" if c in "\"'" and len(t) > 1 else c
         if len(self) > self.most:
             self.clear()
-        self[t] = i = self.ids.setdefault(k, len(self.ids))
-        return i
+        self[t] = x = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=5).digest()) << 16 | zlib.crc32(k.encode("utf-8", "replace")) & 0xFFFF
+        return x
 
 
-def tokens(text: str, classes: Classes) -> np.ndarray:
-    """The token classes of a text."""
+def tokens(text: str, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of the tokens of a text, and the numbers of their texts."""
     found = _TOKEN.findall(text)
-    return np.fromiter(map(classes.__getitem__, found), np.int64, len(found))
+    both = np.fromiter(map(classes.__getitem__, found), np.int64, len(found))
+    return both & 0xFFFF, both
 
 
 _COMMENT = ("//", "#", "*", "/*")
 
 
-def line_rules(text: str) -> np.ndarray:
-    """Rules over the lines of a text: two consecutive lines that are neither empty nor comments, as one number."""
-    lines = [zlib.crc32(x.encode("utf-8", "replace")) for x in map(str.strip, text.splitlines()) if len(x) > 3 and not x.startswith(_COMMENT)]
-    h = np.array(lines, np.uint64)
-    return ((h[:-1] << np.uint64(32)) | h[1:]).view(np.int64)
-
-
 _NUMBERS = re.compile(r"(?:-?(?:0x[0-9a-fA-F]++|\d++(?:\.\d++)?),\s*+){16,}+")
 _BLOB = re.compile(r"[\"'`]([A-Za-z0-9+/=_\\-]{120,}+)[\"'`]")
 _BLOB_LINE = re.compile(r"(?m)^[ \t]*+[\"'`]?([A-Za-z0-9+/=]{60,}+)[\"'`]?[ \t]*[,+\\]?$")
@@ -87,17 +86,18 @@ _NUMBER = re.compile(r"\d+")
 _HASHED = re.compile(r"(?:integrity|checksum|resolved|sha512|sha256)[\"']?\s*[:=]")
 
 
-def _compressed(text: str) -> int:
-    """Bytes of the whole text when compressed, in pieces, so that no second copy of it is held."""
-    z = zlib.compressobj()
-    return sum(len(z.compress(text[lo : lo + 65_536].encode())) for lo in range(0, len(text), 65_536)) + len(z.flush())
+def incompressible(literals: str) -> bool:
+    """Whether a grammar of the characters hardly shortens them: its symbols, two for each rule, take at least DENSE of their bits."""
+    chars = np.frombuffer(literals.encode("utf-32-le", "replace"), np.uint32)
+    g, alphabet = grammars([chars]), max(2, len(np.unique(chars)))
+    return (g.left[0] + 2 * g.rules[0]) * np.log2(alphabet + g.rules[0]) >= DENSE * len(chars) * np.log2(alphabet)
 
 
 def literal_share(text: str) -> float:
     """The share of a text in literals that hardly compress: numbers in long lists and long strings without spaces."""
     numbers = sum(map(len, _NUMBERS.findall(text)))
     blobs = "".join(_BLOB.findall(text)) + "".join(_BLOB_LINE.findall(text))
-    if blobs and _compressed(blobs) < 0.6 * len(blobs):
+    if numbers + len(blobs) <= DATA * len(text) or blobs and not incompressible(blobs):
         blobs = ""
     return (numbers + len(blobs)) / max(1, len(text))
 
@@ -116,12 +116,11 @@ def signs(path: str, text: str | None) -> list[str]:
         out.append("vendored")
     if _GENERATED_PATH.search(path):
         out.append("generated")
-    dense = dense_share(text) if len(text) > 600 else 0.0
-    literals = literal_share(text) if len(text) > 600 else 0.0
+    dense, literals = dense_share(text), literal_share(text)
     code = bool(_CODE.search(path))
     if code and (dense > 0.6 and literals < 0.3 or _MINIFIED_PATH.search(path) and (dense > 0.3 or unread)):
         out.append("minified")
-    if code and literals > 0.5:
+    if code and literals > DATA:
         out.append("data")
     if _LOCK_PATH.search(path) and not _CODE.search(path) or re.search(r"\.(?:json|ya?ml|lock)$", path) and len(_HASHED.findall(text)) >= 5:
         out.append("lock")
@@ -140,51 +139,52 @@ def signs(path: str, text: str | None) -> list[str]:
     return out
 
 
-def examined(sources: DataFrame, known: DataFrame) -> DataFrame:
-    """(repo_id, file_path, signs, known, n_rules, rules) of every file; rules only of code, for sharing across repositories."""
-    texts = known.select("library", "content").limit(MOST_KNOWN // 20).toPandas()  # the fixed reference table
-    by_rule: dict[int, list[str]] = {}
-    for library, content in zip(texts["library"], texts["content"]):
-        for r in set(line_rules(content or "").tolist()):
-            by_rule.setdefault(r, []).append(library)
-    # Phrases that several known files have are no sign of one of them.
-    by_rule = {r: x for r, x in by_rule.items() if len(x) <= 2}
-    if len(by_rule) > MOST_KNOWN:
-        raise ValueError("too many known files for a broadcast")
-    shared = sources.sparkSession.sparkContext.broadcast(by_rule)
+def examined(files: DataFrame) -> DataFrame:
+    """(repo_id, file_path, signs, rules) of every row of (repo_id, file_path, source): why it is not written by hand, as far as the file tells alone,
+    and, of code, the phrases below the rules of its grammar."""
 
     def examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classes = Classes()
-        own = shared.value
         for b in batches:
-            for lo in range(0, len(b), 400):
-                part = b.iloc[lo : lo + 400]
-                read = [None if s is None or b"\0" in s[:8192] else s.decode("utf-8", "replace").removeprefix("﻿").replace("\r\n", "\n") for s in part["source"]]
-                found = [signs(p, t) if not _NOT_SOURCE.search(p) else [] for p, t in zip(part["file_path"], read)]
-                texts = [t or "" for t in read]
-                code = [bool(_CODE.search(p)) for p in part["file_path"]]
-                sequences = [tokens(t, classes) if c else np.zeros(0, np.int64) for t, c in zip(texts, code)]
-                left, rules, periodic = grammars(sequences)
-                listed, copies, many = [], [], []
-                for i, (t, c) in enumerate(zip(texts, code)):
-                    n = len(sequences[i])
+            rows, sequences, size = [], [], 0
+
+            def out(rows=rows, sequences=sequences):
+                g = grammars([c for c, _ in sequences], [w for _, w in sequences])
+                for i, (repo, path, signs_, numbers) in enumerate(rows):
+                    n = len(sequences[i][0])
                     # Machine-made phrases count: what repeats without numbers that differ may be a hand's habit.
-                    if n >= 120 and periodic[i] > PERIODIC * n and len(set(_NUMBER.findall(t))) >= NUMBERED:
-                        found[i].append("generated")
-                    lines = line_rules(t).tolist() if c else []
-                    votes: dict[str, int] = {}
-                    for r in lines:
-                        for library in own.get(r, ()):
-                            votes[library] = votes.get(library, 0) + 1
-                    top = max(votes.values(), default=0)
-                    copies.append(top / max(1, len(lines)) if top >= min(LEAST_RULES, max(2, len(lines) // 2)) else 0.0)
-                    many.append(len(lines))
-                    listed.append(sorted({*lines}) if len(lines) >= LEAST_SHARED else [])
-                yield pd.DataFrame({"repo_id": part["repo_id"], "file_path": part["file_path"], "signs": [sorted({*x}) for x in found], "known": copies, "periodic": [float(p) / max(1, len(s)) for p, s in zip(periodic, sequences)], "rules": listed})
-
-    repo = sources.schema["repo_id"].dataType.simpleString()
-    rows = sources.where("file_path IS NOT NULL").select("repo_id", "file_path", "source")
-    return spread(rows).mapInPandas(examine, f"repo_id {repo}, file_path string, signs array<string>, known double, periodic double, rules array<bigint>")
+                    if n and g.long[i] >= REUSED * n and numbers >= NUMBERED:
+                        signs_.append("generated")
+                    yield repo, path, sorted({*signs_}), g.phrases(i)
+
+            for repo, path, s in zip(b["repo_id"], b["file_path"], b["source"]):
+                read = None if s is None or b"\0" in s[:8192] else s.decode("utf-8", "replace").removeprefix("\ufeff").replace("\r\n", "\n")
+                found = signs(path, read) if not _NOT_SOURCE.search(path) else []
+                code = read if read and _CODE.search(path) else ""
+                rows.append((repo, path, found, len({*_NUMBER.findall(code)})))
+                sequences.append(tokens(code, classes))
+                size += len(sequences[-1][0])
+                if size >= AT_ONCE:
+                    yield pd.DataFrame(list(out()), columns=_COLUMNS)
+                    rows.clear()
+                    sequences.clear()
+                    size = 0
+            yield pd.DataFrame(list(out()), columns=_COLUMNS)
+
+    repo = files.schema["repo_id"].dataType.simpleString()
+    rows = files.where("file_path IS NOT NULL").select("repo_id", "file_path", "source")
+    return spread(rows).mapInPandas(examine, f"repo_id {repo}, file_path string, signs array<string>, rules array<bigint>")
+
+
+_COLUMNS = ["repo_id", "file_path", "signs", "rules"]
+
+
+def known_rules(known: DataFrame) -> DataFrame:
+    """(rule, library) of the phrases of known files (library, file_name, content); phrases that more than two libraries have are no sign of one of them."""
+    files = known.select(F.col("library").alias("repo_id"), F.col("file_name").alias("file_path"), F.encode("content", "UTF-8").alias("source"))
+    each = examined(files).select(F.explode("rules").alias("rule"), F.col("repo_id").alias("library")).distinct()
+    few = each.groupBy("rule").agg(F.min("library").alias("a"), F.max("library").alias("z"), F.count("*").alias("n")).where("n <= 2")
+    return few.select("rule", F.explode(F.array_distinct(F.array("a", "z"))).alias("library"))
 
 
 def not_by_hand(sources: DataFrame, known: DataFrame) -> DataFrame:
@@ -194,19 +194,19 @@ def not_by_hand(sources: DataFrame, known: DataFrame) -> DataFrame:
     them. Null, empty and binary contents (a NUL in the first 8,192 bytes) have the signs of their path only; rows that repeat a file give one row. An empty table of known
     files finds copies across repositories only.
     """
-    files = cut_lineage(examined(sources, known))
-    places = files.select("repo_id", F.explode("rules").alias("rule"))
-    counts = places.groupBy("rule").agg(F.count("*").alias("n"), F.min("repo_id").alias("a"), F.max("repo_id").alias("z"))
-    counts = cut_lineage(counts.where("a < z"))
+    files = cut_lineage(examined(sources))
+    counts = files.select("repo_id", F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"), F.min("repo_id").alias("a"), F.max("repo_id").alias("z"))
+    # A row for each rule that tells anything: library is null for sharing across repositories.
+    told = counts.where("a < z").select("rule", "n", F.lit(None).cast("string").alias("library")).unionByName(known_rules(known).join(counts, "rule").select("rule", "n", "library"))
+    told = cut_lineage(told)
     total = files.agg(F.coalesce(F.sum(F.size("rules")), F.lit(0))).first()[0]
-    # Hot rules, at most HOT_PARTS of them, are hits like the others; they meet their places by broadcast, so no key of the shuffled join is hot.
-    is_hot = (F.col("n") * HOT_PARTS >= F.lit(total)) & (F.col("n") > 100)
-    hot = F.broadcast(counts.where(is_hot).select("rule"))
-    cold = counts.where(~is_hot).select("rule")
+    # Hot rules, at most HOT_PARTS of them, meet their places by broadcast, so no key of the shuffled join is hot.
+    is_hot = F.col("n") * HOT_PARTS >= F.lit(total)
+    hot, cold = F.broadcast(told.where(is_hot).select("rule", "library")), told.where(~is_hot).select("rule", "library")
     exploded = files.select("repo_id", "file_path", F.size("rules").alias("all"), F.explode("rules").alias("rule"))
-    met = exploded.join(hot, "rule", "left_anti").join(cold, "rule").unionByName(exploded.join(hot, "rule"))
-    hits = met.groupBy("repo_id", "file_path").agg(F.count("*").alias("hits"), F.max("all").alias("all"))
-    across = hits.where(F.col("hits") >= SHARED * F.col("all")).select("repo_id", "file_path", F.array(F.lit("vendored")).alias("kinds"))
-    own = files.select("repo_id", "file_path", F.array_union("signs", F.when(F.col("known") >= KNOWN, F.array(F.lit("vendored"))).otherwise(F.array().cast("array<string>"))).alias("kinds"))
-    both = own.where(F.size("kinds") > 0).unionByName(across)
-    return both.groupBy("repo_id", "file_path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))
+    met = exploded.join(hot.select("rule").distinct(), "rule", "left_anti").join(cold, "rule").unionByName(exploded.join(hot, "rule"))
+    hits = met.groupBy("repo_id", "file_path", "library").agg(F.count("*").alias("hits"), F.max("all").alias("all"))
+    least, share = (F.when(F.col("library").isNull(), x).otherwise(y) for x, y in ((LEAST_SHARED, LEAST_KNOWN), (SHARED, KNOWN)))
+    copies = hits.where((F.col("hits") >= least) & (F.col("hits") >= share * F.col("all"))).select("repo_id", "file_path", F.array(F.lit("vendored")).alias("kinds"))
+    own = files.where(F.size("signs") > 0).select("repo_id", "file_path", F.col("signs").alias("kinds"))
+    return own.unionByName(copies).groupBy("repo_id", "file_path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("kinds"))

@@ -28,7 +28,7 @@ def test_kinds(spark):
     shared = hand(12, 99)
     rows += [(2, "src/shared.py", shared.encode(), "x", "y"), (3, "lib/copy.py", ("\n" + shared).encode(), "x", "y")]
     s = spark.createDataFrame(rows, "repo_id long, file_path string, source binary, kinds string, rule string")
-    known = spark.createDataFrame([("lib", LIB), ("nil", None), ("other", hand(9, 55))], "library string, content string")
+    known = spark.createDataFrame([("lib", "a.py", LIB, "1"), ("lib", "a.py", LIB + hand(2, 3), "2"), ("lib", "a.py", LIB, "3"), ("nil", "b.py", None, "1"), ("other", "c.py", hand(9, 55), "1"), ("none", None, "x", "1")], "library string, file_name string, content string, rule string")
     got = {(r["repo_id"], r["file_path"]): r["kinds"] for r in handwritten.not_by_hand(s, known).collect()}
     for p, (_, kind) in CASES.items():
         assert (kind is None) == ((1, p) not in got), (p, got.get((1, p)))
@@ -38,22 +38,42 @@ def test_kinds(spark):
 
 def test_empty(spark):
     s = spark.createDataFrame([], "repo_id long, file_path string, source binary")
-    assert handwritten.not_by_hand(s, spark.createDataFrame([], "library string, content string")).count() == 0
+    assert handwritten.not_by_hand(s, spark.createDataFrame([], "library string, file_name string, content string")).count() == 0
 
 
-def test_repair_finds_periods():
+def test_repair_finds_long_rules():
     rng = np.random.default_rng(1)
-    periodic = np.tile(np.arange(10), 50)
-    left, rules, run = repair.grammars([periodic, rng.integers(0, 500, 500), np.zeros(0, np.int64), np.array([1])])
-    assert left[0] < 20 and run[0] > 400 and run[1] == 0 and list(left[2:]) == [0, 1]
-    assert rules[0] > 0
+    phrase, noise = np.tile(rng.integers(0, 500, 20), 50), rng.integers(0, 500, 1000)
+    g = repair.grammars([phrase, noise, np.zeros(0, np.int64), np.array([1])])
+    assert g.left[0] < 20 and g.long[0] > 900 and g.long[1] == 0 and list(g.left[2:]) == [0, 1] and g.rules[0] > 0
+    # A run of 2 ** 26 takes more than 24 rounds.
+    assert repair.grammars([np.zeros(2**26 - 1, np.int8)]).left[0] < 40
+
+
+def test_grammars_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(2)
+    many = [np.concatenate([rng.integers(0, 8, n), np.tile(rng.integers(0, 8, 40), 4), rng.integers(0, 8, n)]) for n in (100, 300, 5, 900)]
+    words = [rng.integers(0, 30, len(m)) for m in many]
+    all_ = repair.grammars(many, words)
+    for i, (m, w) in enumerate(zip(many, words)):
+        own = repair.grammars([m], [w])
+        assert (own.left[0], own.rules[0], own.long[0], own.phrases(0)) == (all_.left[i], all_.rules[i], all_.long[i], all_.phrases(i))
+    # What is derived from a grammar is the text: its phrases are numbers of words of the sequence.
+    assert len(all_.phrases(1)) > 5 and not {*all_.phrases(0)} & {*all_.phrases(1)}
+
+
+def test_short_files_are_judged_too():
+    short = "".join(f"x{i} = f({i})\n" for i in range(16))
+    c, w = handwritten.tokens(short, handwritten.Classes())
+    assert len(c) < 120 and repair.grammars([c], [w]).long[0] >= handwritten.REUSED * len(c)
+    assert handwritten.literal_share('D = "' + "".join(random.Random(3).choices("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789", k=200)) + '"') > 0.9
 
 
 def test_copies_in_very_many_repositories(spark):
     text = hand(12, 99)
     rows = [(n, f"src/m{n}.py", text.encode()) for n in range(120)] + [(500, "src/own.py", hand(12, 98).encode())]
     s = spark.createDataFrame(rows, "repo_id long, file_path string, source binary")
-    got = handwritten.not_by_hand(s, spark.createDataFrame([], "library string, content string")).collect()
+    got = handwritten.not_by_hand(s, spark.createDataFrame([], "library string, file_name string, content string")).collect()
     assert {(r["repo_id"], r["file_path"], *r["kinds"]) for r in got} == {(n, f"src/m{n}.py", "vendored") for n in range(120)}
 
 
@@ -70,5 +90,5 @@ def test_path_tells_of_binary_contents(spark):
     want = {"vendor/lib/a.py": "vendored", "web/b.min.js": "minified", "api/c_pb2.py": "generated", "yarn.lock": "lock", "src/d.py": None, "vendor/lib/LICENSE": None}
     rows = [(n, p, s) for n, s in enumerate((gz, None)) for p in want]
     s = spark.createDataFrame([*rows, (2, "vendor/lib/__init__.py", b"")], "repo_id long, file_path string, source binary")
-    got = {(r["repo_id"], r["file_path"]): r["kinds"] for r in handwritten.not_by_hand(s, spark.createDataFrame([], "library string, content string")).collect()}
+    got = {(r["repo_id"], r["file_path"]): r["kinds"] for r in handwritten.not_by_hand(s, spark.createDataFrame([], "library string, file_name string, content string")).collect()}
     assert got == {(n, p): [want[p]] for n, p, _ in rows if want[p]} | {(2, "vendor/lib/__init__.py"): ["vendored"]}
