@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from sparkloom.llm import truncation
 
 R = random.Random(7)
@@ -58,6 +60,37 @@ def test_classes_do_not_depend_on_size(spark):
     word = lambda: "".join(r.choices("abcdefghij", k=5))
     filler = [word() for _ in range(800)]
     rows = ["gamma alpha beta"] * 40 + [f"{word()} alpha {word()}" for _ in range(14)] + [" ".join(r.choices(filler, k=200)) for _ in range(120)]
-    one, ten = (truncation.vocabulary(spark.createDataFrame([(t,) for t in rows * n], "text string"), "text") for n in (1, 10))
-    assert one["alpha"] == ten["alpha"] == truncation.CLOSED
-    assert all(one[w] == ten[w] == truncation.KNOWN for w in filler if w in one and w in ten)
+    number = truncation._Numbers()
+
+    def classes(texts):
+        words, phrase = truncation.vocabulary(truncation.tokenised(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "key long, text string")))
+        return dict(zip(words.tolist(), phrase.tolist()))
+
+    one, ten = classes(rows), classes(rows * 10)
+    assert one[number["alpha"]] and ten[number["alpha"]]
+    kept = [number[w] for w in filler if number[w] in one and number[w] in ten]
+    assert len(kept) > 700 and not any(one[w] or ten[w] for w in kept)
+
+
+def test_contexts_before_the_end_are_those_of_the_places():
+    r = np.random.default_rng(3)
+    texts = [r.integers(0, 9, n) for n in (1, 3, 40, 300)]
+    for raw, depths in ((False, range(1, truncation.DEPTH + 1)), (True, truncation.RAW)):
+        each, follow = truncation.contexts(texts, depths, raw)
+        at = np.flatnonzero(follow == 2)
+        tails = np.full((len(texts), max(depths)), truncation.PAD)
+        for i, t in enumerate(texts):
+            tails[i, -min(len(t), max(depths)) :] = t[-max(depths) :]
+        assert (np.stack([h[at] for h in each], axis=1) == truncation.last_contexts(tails, depths, raw)).all()
+
+
+def test_signs_are_weighed_by_what_the_data_tell(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(4000):
+        cut = i % 10 == 0
+        rows.append((i, "s", "en", r.lognormvariate(2.5 if cut else -2.5, 1.0), r.random() < (0.4 if cut else 0.001), False, r.random() < 0.1, r.random() < (0.3 if cut else 0.01)))
+    schema = "doc_id int, source string, lang string, ratio double, mark boolean, broken boolean, fence boolean, pile boolean"
+    share, weights = truncation.fitted(spark.createDataFrame(rows, schema))["s", "en"]
+    assert weights["mark"][0] > 4 and weights["pile"][0] > 2.5 and abs(weights["fence"][0]) < 0.5 and abs(share - 0.1) < 0.05
+    assert weights["mark"][1] < 0 and truncation.fitted(spark.createDataFrame([], schema)) == {}
