@@ -90,6 +90,12 @@ def find_symbols(nodes: DataFrame, name: str, most: int = 10) -> DataFrame:
     return s.join(F.broadcast(best), F.col("_near") == F.col("_best")).drop("_near", "_best").orderBy("id").limit(most)
 
 
+def member_of(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """The symbols (id, ...) with the one they are a member of (parent); null for those at the top."""
+    up = edges.where("edge_type = 'member_of'").select(F.col("source").alias("id"), F.col("target").alias("parent")).dropDuplicates(["id"])
+    return symbols.join(up, "id", "left")
+
+
 def mermaid(chosen: DataFrame, pairs: DataFrame) -> DataFrame:
     """(diagram): a flow chart of at most a few dozen chosen files (file_path) and the pairs among them, nodes named by their place."""
     nodes = chosen.select("file_path").distinct().withColumn("i", F.row_number().over(Window.orderBy("file_path")) - 1)

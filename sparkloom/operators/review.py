@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.text import banned_phrases, overlap, word_count, word_keys
+from sparkloom.functions.text import banned_phrases, bullets, overlap, review_passed, word_count, word_keys
 
 # Endings by which a code span is taken for a path.
 PATH_ENDINGS = "py js ts tsx jsx go rs java md json yaml yml toml sh html css".split()
@@ -47,6 +47,25 @@ def merge_reviews(reviews: DataFrame, found: DataFrame) -> DataFrame:
     return j.select("name", F.when(has, F.lit(False)).otherwise(F.coalesce("passed", F.lit(True))).alias("passed"), F.array_distinct(F.concat(old, F.coalesce("_f", F.array().cast("array<string>")))).alias("issues"), F.when(~has, F.col("error")).alias("error"))
 
 
+def grounded(documents: DataFrame, facts: DataFrame) -> DataFrame:
+    """(name, prompt): each document (name, text) with the facts (name, facts) that a reviewer checks it against."""
+    told = F.coalesce("facts", F.lit("(none)"))
+    return documents.join(facts.dropDuplicates(["name"]), "name", "left").select("name", F.concat(F.lit("Document:\n"), "text", F.lit("\n\nFacts:\n"), told).alias("prompt"))
+
+
+def review_of(reply) -> tuple:
+    """(passed, issues) of a reviewer's reply, as columns: its status line and its bullets; without a status line it passes."""
+    return review_passed(reply), bullets(reply)
+
+
+def review_document(reviews: DataFrame) -> DataFrame:
+    """(text): one document of all reviews (name, passed, issues, error), by name."""
+    issues = F.when(F.size("issues") > 0, F.concat(F.lit("- "), F.array_join("issues", "\n- "))).otherwise("No issues found.")
+    status = F.when(F.col("error").isNotNull(), F.format_string("**Status:** not reviewed (%s)", "error")).otherwise(F.concat(F.lit("**Status:** "), F.when(F.col("passed"), "PASS").otherwise("ISSUES FOUND"), F.lit("\n\n"), issues))
+    part = F.format_string("## %s\n\n%s", "name", status)
+    return reviews.agg(F.concat(F.lit("# Documentation Review\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", part.alias("p")))), lambda x: x["p"]), "\n\n"), F.lit("\n")).alias("text"))
+
+
 def dedupe_bullets(rows: DataFrame, keys: list[str], text: str, order: str, most: int = 5, near: float = 0.55) -> DataFrame:
     """keys, kept: the first bullets of each group that overlap with no kept one by near or more, at most so many, as one fold."""
     items = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])

@@ -13,17 +13,24 @@ class _Spans:
     """Byte offsets of (line, byte column) places."""
 
     def __init__(self, source: bytes):
+        self.source = source
         self.starts = [0]
         for i, b in enumerate(source):
             if b == 10:
                 self.starts.append(i + 1)
 
+    def text(self, node) -> str | None:
+        """The source of a node as it is written."""
+        if node is None:
+            return None
+        a, b, *_ = self.of(node)
+        return self.source[a:b].decode("utf-8", "replace")
+
     def of(self, node) -> tuple[int, int, int, int]:
         return self.starts[node.lineno - 1] + node.col_offset, self.starts[node.end_lineno - 1] + node.end_col_offset, node.lineno - 1, node.end_lineno - 1
 
 
-def _parameters(a: ast.arguments) -> list[dict]:
-    text = lambda n: ast.unparse(n) if n is not None else None
+def _parameters(a: ast.arguments, text) -> list[dict]:
     positional = [*a.posonlyargs, *a.args]
     defaults = [None] * (len(positional) - len(a.defaults)) + list(a.defaults)
     out = [parameter(p.arg, text(p.annotation), text(d)) for p, d in zip(positional, defaults)]
@@ -42,13 +49,13 @@ def _shown(p: dict) -> str:
 def _walk(body, spans: _Spans, parent: str | None, out: Parsed) -> None:
     for n in body:
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            ps = _parameters(n.args)
-            returns = ast.unparse(n.returns) if n.returns else None
+            ps = _parameters(n.args, spans.text)
+            returns = spans.text(n.returns)
             signature = f"{'async ' if isinstance(n, ast.AsyncFunctionDef) else ''}def {n.name}({', '.join(map(_shown, ps))})" + (f" -> {returns}" if returns else "")
-            out.symbols.append(Symbol(n.name, "method" if parent else "function", *spans.of(n), signature, ast.get_docstring(n), returns, parent, ps, [ast.unparse(d) for d in n.decorator_list], is_exported=not n.name.startswith("_")))
+            out.symbols.append(Symbol(n.name, "method" if parent else "function", *spans.of(n), signature, ast.get_docstring(n), returns, parent, ps, [spans.text(d) for d in n.decorator_list], is_exported=not n.name.startswith("_")))
         elif isinstance(n, ast.ClassDef):
-            bases = ", ".join(map(ast.unparse, n.bases))
-            out.symbols.append(Symbol(n.name, "class", *spans.of(n), f"class {n.name}" + (f"({bases})" if bases else ""), ast.get_docstring(n), None, parent, [], [ast.unparse(d) for d in n.decorator_list], is_exported=not n.name.startswith("_")))
+            bases = ", ".join(map(spans.text, n.bases))
+            out.symbols.append(Symbol(n.name, "class", *spans.of(n), f"class {n.name}" + (f"({bases})" if bases else ""), ast.get_docstring(n), None, parent, [], [spans.text(d) for d in n.decorator_list], is_exported=not n.name.startswith("_")))
             _walk(n.body, spans, n.name, out)
         elif parent is None and isinstance(n, ast.Import):
             out.imports += [Import(a.name, [], a.asname) for a in n.names]
