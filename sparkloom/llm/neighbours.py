@@ -1,28 +1,33 @@
 """The most similar vectors of every vector, by a block matrix join.
 
-Vectors of one model are dealt into stripes and every pair of stripes is a tile, whose two sides meet in one task. There int8
-products of blocks give all similarities with a bound of their quantisation error; only pairs that the bound cannot rule
-out of either side's k best are recomputed in float, and each side's k best of the tile go into heaps that are merged over
-tiles. The result is exact, so no recall is lost; a tile of two stripes serves both sides.
+Vectors of one model are dealt into stripes and every pair of stripes is a tile, whose two sides meet in one task. What travels to the tiles are int8
+codes: a first code of each number and a second one of what the first leaves out. Products of the first codes give all similarities with a
+bound of their quantisation error; pairs that the bound cannot rule out of either side's k best are recomputed from both codes, with a far smaller bound,
+and go into heaps that are merged over tiles. What then is still undecided, and every distance that is given out, is recomputed from
+the float vectors, which are joined to the surviving pairs alone. The result is exact, so no recall is lost; a tile of two stripes serves both sides.
+Exact copies of a vector are one vector with several numbers until the end, so no group of copies makes pairs of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.session import parallelism
+from sparkloom.session import cut_lineage, parallelism
 
-#: Vectors in a stripe. A task holds two stripes in float and int8: about 2 x STRIPE x dimensions x 5 bytes.
+#: Vectors in a stripe. A task holds two stripes in int8 and float: about 2 x STRIPE x dimensions x 10 bytes.
 STRIPE = 16_384
 #: Rows of a block of products, of STEP x STEP x 4 bytes.
 STEP = 2048
 #: Products of a block that give a vector its first bound.
 WARM = 512
+#: Parts of a group of copies whose smallest numbers are found apart.
+SALTS = 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -38,11 +43,33 @@ def usable(vectors: DataFrame) -> DataFrame:
     return last.where("x._ok").select("vec_no", F.col("x.model").alias("model"), F.col("x.vector").alias("vector"))
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes in -127..127, scale, norm of what the codes leave out) of each row."""
-    scale = np.abs(x).max(axis=1) / 127
-    codes = np.rint(x / scale[:, None]).astype(np.int8)
-    return codes, scale.astype("f4"), np.linalg.norm(x - codes * scale[:, None], axis=1).astype("f4")
+@dataclass
+class Codes:
+    """Unit vectors as x = (code + fine / 254) * scale, but for a rest; error is the norm of what the first codes leave out, rest that of what both do."""
+
+    ids: np.ndarray
+    code: np.ndarray
+    fine: np.ndarray
+    scale: np.ndarray
+    error: np.ndarray
+    rest: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def near(self, rows: np.ndarray) -> np.ndarray:
+        """The vectors as both codes tell them."""
+        return (self.code[rows].astype("f4") + self.fine[rows].astype("f4") / np.float32(254)) * self.scale[rows, None]
+
+
+def quantised(ids: np.ndarray, x: np.ndarray) -> Codes:
+    """The codes of unit vectors."""
+    scale = (np.abs(x).max(axis=1) / 127).astype("f4")
+    code = np.clip(np.rint(x / scale[:, None]), -127, 127)
+    left = x - code * scale[:, None].astype("f8")
+    fine = np.clip(np.rint(left * 254 / scale[:, None]), -127, 127)
+    last = left - fine / 254 * scale[:, None].astype("f8")
+    return Codes(ids, code.astype(np.int8), fine.astype(np.int8), scale, np.linalg.norm(left, axis=1).astype("f4"), (np.linalg.norm(last, axis=1) + 1e-7).astype("f4"))
 
 
 def _first(rows: np.ndarray, k: int) -> np.ndarray:
@@ -54,12 +81,12 @@ def _first(rows: np.ndarray, k: int) -> np.ndarray:
 class _Side:
     """The candidates of one side of a tile, with the k best lower bounds of each vector so far."""
 
-    def __init__(self, x: np.ndarray, ids: np.ndarray, error: np.ndarray, other_error: float, k: int):
-        self.x, self.ids, self.k = x, ids, k
+    def __init__(self, own: Codes, other_error: float, k: int):
+        self.own, self.k = own, k
         # |a.b - qa.qb| <= |ea| |b| + |qa| |eb| with |b| = 1 and |qa| <= 1 + |ea|; rounding of float32 is far below the slack.
-        self.bound = (error + (1 + error) * other_error + 1e-5).astype("f4")
-        self.top = np.full((len(ids), k), -9, "f4")
-        self.least = np.full(len(ids), -9, "f4")  # a product below this cannot be among the k best
+        self.bound = (own.error + (1 + own.error) * other_error + 1e-5).astype("f4")
+        self.top = np.full((len(own), k), -9, "f4")
+        self.least = np.full(len(own), -9, "f4")  # a product below this cannot be among the k best
         self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.many = 0
 
@@ -87,42 +114,38 @@ class _Side:
         on = v >= self.least[r]
         self.kept, self.many = [(r[on], c[on], v[on])], int(on.sum())
 
-    def best(self, other: "_Side") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(own ids, ids, similarities) of the k best, from the survivors recomputed in double precision; ties go to the smaller id."""
+    def best(self, other: "_Side") -> pd.DataFrame:
+        """(vec_no, neighbour, similarity, error): of the survivors recomputed from both codes those that may be among the k best, all whose bounds overlap."""
         if not self.kept:
-            return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)
+            return pd.DataFrame({"vec_no": np.zeros(0, "i8"), "neighbour": np.zeros(0, "i8"), "similarity": np.zeros(0), "error": np.zeros(0)})
         self._prune()
         r, c, _ = self.kept[0]
         near = np.empty(len(r), "f4")
         for p in range(0, len(r), 65_536):
             q = slice(p, p + 65_536)
-            near[q] = np.einsum("ij,ij->i", self.x[r[q]], other.x[c[q]])
-        # In float, all but those that rounding may put among the k best fall away.
-        order = np.lexsort((-near, r))
+            near[q] = np.einsum("ij,ij->i", self.own.near(r[q]), other.own.near(c[q]))
+        error = self.own.rest[r] + (1 + self.own.rest[r]) * other.own.rest[c] + np.float32(2e-6)
+        order = np.lexsort((-(near - error), r))
         first = _first(r[order], self.k)
-        least = np.full(len(self.ids), -9, "f4")
-        np.minimum.at(kth := np.full(len(self.ids), 9, "f4"), r[order][first], near[order][first])
-        least = np.where(kth < 9, kth, least)
-        on = near >= least[r] - 4e-6
-        r, c = r[on], c[on]
-        exact = np.einsum("ij,ij->i", self.x[r].astype("f8"), other.x[c].astype("f8"))
-        order = np.lexsort((other.ids[c], -exact, r))
-        r, c, exact = r[order], c[order], exact[order]
-        first = _first(r, self.k)
-        return self.ids[r[first]], other.ids[c[first]], exact[first]
-
-
-def tile(xa: np.ndarray, ia: np.ndarray, xb: np.ndarray, ib: np.ndarray, k: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query ids, ids, similarities): the k most similar of the other side for each vector of either side. Each block of products serves both."""
-    qa, sa, ea = quantised(xa)
-    qb, sb, eb = (qa, sa, ea) if same else quantised(xb)
-    a = _Side(xa, ia, ea, float(eb.max()), k)
-    b = a if same else _Side(xb, ib, eb, float(ea.max()), k)
-    # Products of codes are exact in float32: at most 127 * 127 * dimensions < 2**24.
-    fa, fb = qa.astype("f4") * sa[:, None], qb.astype("f4") * sb[:, None]
-    for lo in range(0, len(ia), STEP):
-        for lo2 in range(lo if same else 0, len(ib), STEP):
+        kth, many = np.full(len(self.own), 9, "f4"), np.zeros(len(self.own), np.int64)
+        np.minimum.at(kth, r[order][first], (near - error)[order][first])
+        np.add.at(many, r[order][first], 1)
+        on = near + error >= np.where(many == self.k, kth, -9)[r]
+        return pd.DataFrame({"vec_no": self.own.ids[r[on]], "neighbour": other.own.ids[c[on]], "similarity": near[on].astype("f8"), "error": error[on].astype("f8")})
+
+
+def tile(a_: Codes, b_: Codes, k: int, same: bool) -> Iterator[pd.DataFrame]:
+    """What each side's vectors may have among their k most similar of the other side. Each block of products serves both."""
+    a = _Side(a_, float(b_.error.max()), k)
+    b = a if same else _Side(b_, float(a_.error.max()), k)
+    # The codes are whole numbers, and so are their products: at most 127 * 127 * dimensions, which float32 holds exactly below 2 ** 24. BLAS has no faster product of int8.
+    fa = a_.code.astype("f4")
+    fb = fa if same else b_.code.astype("f4")
+    for lo in range(0, len(a_), STEP):
+        for lo2 in range(lo if same else 0, len(b_), STEP):
             s = fa[lo : lo + STEP] @ fb[lo2 : lo2 + STEP].T
+            s *= a_.scale[lo : lo + STEP, None]
+            s *= b_.scale[None, lo2 : lo2 + STEP]
             if same and lo == lo2:
                 np.fill_diagonal(s, -9)
             rows, cols = slice(lo, lo + s.shape[0]), slice(lo2, lo2 + s.shape[1])
@@ -162,53 +185,135 @@ def _warm(side: _Side, r: np.ndarray, v: np.ndarray) -> None:
     side.least[rows] = np.maximum(side.least[rows], low - side.bound[rows])
 
 
-def nearest(vectors: DataFrame, k: int = 10, stripe: int = STRIPE) -> DataFrame:
-    """(model, vec_no, neighbour, distance, rank): the k most similar vectors of the same model for each row of (vec_no, model, vector).
+def _merged(values, k: int):
+    """Of all a vector's candidates (similarity, error, neighbour) those that may be among its k best; sure: those that are, whatever the floats say."""
+    lows = F.array_sort(F.transform(values, lambda x: x["error"] - x["similarity"]))
+    kept = F.filter(values, lambda x: (F.size(values) <= k) | (-x["similarity"] - x["error"] <= F.get(lows, F.lit(k - 1))))
+    return kept
 
-    distance is one minus cosine, in double precision of the float values. Ties go to the smaller vec_no. Vectors of another length than most of
-    their model belong to a group of their own. A null model is a model. Fewer than k others give fewer rows; a single vector gives none.
-    """
+
+def candidates(vectors: DataFrame, k: int = 10, stripe: int = STRIPE) -> DataFrame:
+    """(model, vec_no, neighbour, similarity, error, sure) for each row of (vec_no, model, vector), in which no two of a model are copies: all that may be among
+    its k most similar, similarity being off by at most error; sure tells that one is among them."""
     unit = vectors.select("vec_no", "model", F.size("vector").alias("dims"), "vector")
-    counts = {(r["model"], r["dims"]): r["n"] for r in unit.groupBy("model", "dims").agg(F.count("*").alias("n")).collect()}  # one row for each model
+    # Enough stripes for a tile a core, but none of less than a block.
+    cores = next(r for r in range(1, 1000) if r * (r + 1) >= 2 * parallelism(vectors.sparkSession) or r == 999)
+    n = F.col("n")
+    sizes = unit.groupBy("model", "dims").agg(F.count("*").alias("n")).select("model", "dims", F.greatest(F.ceil(n / stripe), F.least(F.lit(cores), F.ceil(n / STEP))).cast("int").alias("r"))
+
+    def with_stripes(df: DataFrame) -> DataFrame:
+        m = sizes.select(F.col("model").alias("_m"), F.col("dims").alias("_d"), "r")
+        return df.join(m, F.col("model").eqNullSafe(F.col("_m")) & (F.col("dims") == F.col("_d"))).drop("_m", "_d")
+
+    names = ["model", "dims", "r", "s", "ids", "code", "fine", "numbers"]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for (model, dims, s), g in b.groupby(["model", "dims", "s"], dropna=False):
+            rows = []
+            for (model, dims, r, s), g in b.groupby(["model", "dims", "r", "s"], dropna=False):
                 x = np.stack(g["vector"].to_numpy()).astype("f8")
-                big = np.abs(x).max(axis=1, keepdims=True)
-                x = x / big
+                x = x / np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                yield pd.DataFrame({"model": pd.Series([model if isinstance(model, str) else None], dtype=object), "dims": [dims], "s": [s], "ids": [g["vec_no"].to_numpy("<i8").tobytes()], "x": [x.astype("<f4").tobytes()]})
+                c = quantised(g["vec_no"].to_numpy("<i8"), x)
+                rows.append((model if isinstance(model, str) else None, dims, r, s, c.ids.tobytes(), c.code.tobytes(), c.fine.tobytes(), np.stack([c.scale, c.error, c.rest], axis=1).astype("<f4").tobytes()))
+            yield pd.DataFrame(rows, columns=names)
 
-    # Enough stripes for a tile a core, but none of less than a block.
-    cores = next(r for r in range(1, 1000) if r * (r + 1) >= 2 * parallelism(vectors.sparkSession) or r == 999)
-    sizes = F.coalesce(*(F.when(F.col("model").eqNullSafe(F.lit(m)) & (F.col("dims") == d), F.lit(max(-(-n // stripe), min(cores, -(-n // STEP))))) for (m, d), n in counts.items()), F.lit(1)) if counts else F.lit(1)
-    blocks = unit.withColumn("r", sizes).withColumn("s", F.pmod(F.xxhash64("vec_no"), F.col("r")).cast("int"))
-    blocks = blocks.select("model", "dims", "s", "r", "vec_no", "vector")
-    packed = blocks.select("model", "dims", "s", "vec_no", "vector").mapInPandas(pack, "model string, dims int, s int, ids binary, x binary")
-    packed = packed.withColumn("r", sizes)
+    blocks = with_stripes(unit).withColumn("s", F.pmod(F.xxhash64("vec_no"), F.col("r")).cast("int")).select("model", "dims", "r", "s", "vec_no", "vector")
+    packed = blocks.mapInPandas(pack, "model string, dims int, r int, s int, ids binary, code binary, fine binary, numbers binary")
     # Stripe s is in the tiles (s, t) and (t, s); a tile is named (smaller, larger).
-    tiles = packed.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).select("model", "dims", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "s", "ids", "x")
+    tiles = packed.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("r") - 1))).select("model", "dims", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "s", "ids", "code", "fine", "numbers")
 
     def meet(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         model, dims, i, j = key
         sides = []
         for s in sorted({i, j}):
             own = g[g["s"] == s]
-            ids = np.concatenate([np.frombuffer(b, "<i8") for b in own["ids"]]) if len(own) else np.zeros(0, "i8")
-            x = np.concatenate([np.frombuffer(b, "<f4") for b in own["x"]]).reshape(-1, dims) if len(own) else np.zeros((0, dims), "f4")
-            sides.append((x, ids))
-        (xa, ia), (xb, ib) = sides[0], sides[-1]
-        out = list(tile(xa, ia, xb, ib, k, i == j)) if len(ia) and len(ib) else []
-        q, c, v = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0))
-        return pd.DataFrame({"model": pd.Series([model if isinstance(model, str) else None] * len(q), dtype=object), "vec_no": q, "neighbour": c, "similarity": v})
-
-    local = tiles.groupBy("model", "dims", "i", "j").applyInPandas(meet, "model string, vec_no long, neighbour long, similarity double")
-    # The heaps of a vector's tiles, of k each, are merged.
-    best = local.groupBy("model", "vec_no").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("n"), "neighbour"))), 1, k).alias("h"))
-    return best.select("model", "vec_no", F.posexplode("h").alias("p", "x")).select("model", "vec_no", F.col("x.neighbour").alias("neighbour"), (1 + F.col("x.n")).alias("distance"), (F.col("p") + 1).alias("rank"))
-
-
-def pairs(nearest_: DataFrame) -> DataFrame:
-    """(vec_a, vec_b), vec_a < vec_b: each pair of which one is among the nearest of the other, once."""
-    return nearest_.select(F.least("vec_no", "neighbour").alias("vec_a"), F.greatest("vec_no", "neighbour").alias("vec_b")).distinct()
+            numbers = np.frombuffer(b"".join(own["numbers"]), "<f4").reshape(-1, 3)
+            sides.append(Codes(np.frombuffer(b"".join(own["ids"]), "<i8"), np.frombuffer(b"".join(own["code"]), np.int8).reshape(-1, dims), np.frombuffer(b"".join(own["fine"]), np.int8).reshape(-1, dims), *(numbers[:, q].copy() for q in range(3))))
+        out = list(tile(sides[0], sides[-1], k, i == j)) if len(sides[0]) and len(sides[-1]) else []
+        found = pd.concat(out) if out else pd.DataFrame({"vec_no": [], "neighbour": [], "similarity": [], "error": []})
+        found.insert(0, "model", pd.Series([model if isinstance(model, str) else None] * len(found), dtype=object, index=found.index))
+        return found
+
+    local = tiles.groupBy("model", "dims", "i", "j").applyInPandas(meet, "model string, vec_no long, neighbour long, similarity double, error double")
+    # The heaps of a vector's tiles, of about k each, are merged.
+    all_ = local.groupBy("model", "vec_no").agg(F.collect_list(F.struct("similarity", "error", "neighbour")).alias("h")).withColumn("h", _merged(F.col("h"), k))
+    uppers = F.array_sort(F.transform("h", lambda x: -x["similarity"] - x["error"]))
+    sure = lambda x: (F.size("h") <= k) | (x["error"] - x["similarity"] < F.get(uppers, F.lit(k)))
+    return all_.select("model", "vec_no", F.explode(F.transform("h", lambda x: F.struct(x["neighbour"].alias("neighbour"), x["similarity"].alias("similarity"), x["error"].alias("error"), sure(x).alias("sure")))).alias("x")).select("model", "vec_no", "x.*")
+
+
+def exact(pairs_: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(vec_no, neighbour, similarity) of the pairs in both directions, the cosine in double precision of the float vectors (vec_no, vector)."""
+    once = pairs_.select(F.least("vec_no", "neighbour").alias("a"), F.greatest("vec_no", "neighbour").alias("b")).distinct()
+    with_a = once.join(vectors.select(F.col("vec_no").alias("a"), F.col("vector").alias("x")), "a")
+    both = with_a.join(vectors.select(F.col("vec_no").alias("b"), F.col("vector").alias("y")), "b")
+
+    def cosine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            out = np.zeros(len(g))
+            lengths = g["x"].map(len).to_numpy() if len(g) else np.zeros(0, int)
+            for n in np.unique(lengths):
+                on = np.flatnonzero(lengths == n)
+                x, y = (np.stack(g[c].to_numpy()[on]).astype("f8") for c in ("x", "y"))
+                x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
+                out[on] = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+            yield pd.DataFrame({"a": g["a"], "b": g["b"], "similarity": out})
+
+    measured = both.select("a", "b", "x", "y").mapInPandas(cosine, "a long, b long, similarity double")
+    return measured.select(F.explode(F.array(F.struct(F.col("a").alias("vec_no"), F.col("b").alias("neighbour"), "similarity"), F.struct(F.col("b").alias("vec_no"), F.col("a").alias("neighbour"), "similarity"))).alias("x")).select("x.*")
+
+
+def grouped(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors without copies, under their least vec_no; (rep, members): of each vector with copies the k + 1 least vec_no; (vec_no, rep) of the copies and their vector).
+
+    Copies have equal numbers and one model; they are told by two hashes. The least numbers of a group are found in SALTS parts first.
+    """
+    hashed = vectors.select("vec_no", "model", "vector", F.xxhash64("model", "vector").alias("h"), F.xxhash64(F.lit(7), "vector", "model").alias("h2"))
+    salted = hashed.groupBy("h", "h2", F.pmod(F.xxhash64("vec_no"), F.lit(SALTS)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("vec_no")), 1, k + 1).alias("m"))
+    groups = salted.groupBy("h", "h2").agg(F.slice(F.array_sort(F.flatten(F.collect_list("m"))), 1, k + 1).alias("members")).where(F.size("members") > 1)
+    groups = cut_lineage(groups.withColumn("rep", F.get("members", F.lit(0))))
+    marked = hashed.join(groups.select("h", "h2", "rep"), ["h", "h2"], "left")
+    alone = marked.where(F.col("rep").isNull() | (F.col("rep") == F.col("vec_no"))).select("vec_no", "model", "vector")
+    return alone, groups.select("rep", "members"), marked.where("rep IS NOT NULL").select("vec_no", "rep", "model")
+
+
+def expanded(near: DataFrame, copies: DataFrame, of: DataFrame, k: int) -> DataFrame:
+    """(model, vec_no, neighbour, similarity) of the k nearest, ties to the smaller vec_no, from those (near) of vectors without copies: copies of a neighbour are neighbours alike,
+    and copies of a vector are nearest to each other."""
+    each = near.join(copies.select(F.col("rep").alias("neighbour"), "members"), "neighbour", "left").select("model", "vec_no", F.explode(F.coalesce("members", F.array("neighbour"))).alias("neighbour"), "similarity")
+    own = copies.join(of.where("rep = vec_no").select("rep", "model"), "rep").select("model", F.col("rep").alias("vec_no"), F.explode("members").alias("neighbour"), F.lit(1.0).alias("similarity"))
+    heap = F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("n"), "neighbour")))
+    heaps = each.unionByName(own).groupBy("model", "vec_no").agg(F.slice(heap, 1, k + 1).alias("h"))
+    lists = heaps.join(copies.select(F.col("rep").alias("vec_no")), "vec_no", "left_anti").unionByName(of.join(heaps.select(F.col("vec_no").alias("rep"), "h"), "rep").select("vec_no", "model", "h"))
+    best = F.slice(F.filter("h", lambda x: x["neighbour"] != F.col("vec_no")), 1, k)
+    return lists.select("model", "vec_no", F.posexplode(best).alias("p", "x")).select("model", "vec_no", F.col("x.neighbour").alias("neighbour"), (-F.col("x.n")).alias("similarity"), (F.col("p") + 1).alias("rank"))
+
+
+def nearest(vectors: DataFrame, k: int = 10, stripe: int = STRIPE) -> DataFrame:
+    """(model, vec_no, neighbour, distance, rank): the k most similar vectors of the same model for each row of (vec_no, model, vector).
+
+    distance is one minus cosine, in double precision of the float values. Ties go to the smaller vec_no. Vectors of another length than most of
+    their model belong to a group of their own. A null model is a model. Fewer than k others give fewer rows; a single vector gives none.
+    """
+    alone, copies, of = grouped(vectors, k)
+    alone = cut_lineage(alone)
+    near = candidates(alone, k, stripe)
+    measured = exact(near, alone).join(near.select("model", "vec_no", "neighbour"), ["vec_no", "neighbour"])
+    return expanded(measured, copies, of, k).select("model", "vec_no", "neighbour", (1 - F.col("similarity")).alias("distance"), "rank")
+
+
+def pairs(vectors: DataFrame, k: int = 10, stripe: int = STRIPE) -> DataFrame:
+    """(vec_a, vec_b), vec_a < vec_b: each pair of which one is among the k nearest of the other, once, as nearest() gives them.
+
+    Floats are only fetched for vectors whose k nearest the bounds leave open, and where copies change who is among them.
+    """
+    alone, copies, of = grouped(vectors, k)
+    alone = cut_lineage(alone)
+    near = cut_lineage(candidates(alone, k, stripe))
+    open_ = near.where("NOT sure").select("vec_no").union(copies.select("rep")).union(near.join(copies.select(F.col("rep").alias("neighbour")), "neighbour", "left_semi").select("vec_no")).distinct()
+    settled = near.join(open_, "vec_no", "left_anti").select("vec_no", "neighbour")
+    rest = near.join(open_, "vec_no", "left_semi")
+    measured = exact(rest, alone).join(rest.select("model", "vec_no", "neighbour"), ["vec_no", "neighbour"])
+    found = settled.unionByName(expanded(measured, copies, of, k).select("vec_no", "neighbour"))
+    return found.select(F.least("vec_no", "neighbour").alias("vec_a"), F.greatest("vec_no", "neighbour").alias("vec_b")).distinct()

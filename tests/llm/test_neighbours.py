@@ -2,6 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import neighbours
 
@@ -12,7 +13,6 @@ T = [dt.datetime(2024, 1, i) for i in range(1, 5)]
 def brute(x, ids, k):
     out = set()
     u = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
-    u = u.astype("f4").astype("f8")
     s = u @ u.T
     np.fill_diagonal(s, -9)
     for i in range(len(ids)):
@@ -32,6 +32,37 @@ def test_equals_brute_force_over_tiles(spark, stripe):
     assert got == brute(x, list(range(90)), 5)
 
 
+def test_copies_and_near_copies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(160, 10)).astype("f4")
+    x[:50] = x[0]  # a hot group of copies
+    x[50:53] = x[60]
+    x[100:130] = x[100] + 1e-6 * rng.normal(size=(30, 10)).astype("f4")  # closer than the codes can tell
+    ids = rng.permutation(160).tolist()
+    df = spark.createDataFrame([(i, "m", r.tolist()) for i, r in zip(ids, x)], "vec_no long, model string, vector array<float>").withColumn("extra", F.lit(1))
+    near = {(r["vec_no"], r["rank"]): r["distance"] for r in neighbours.nearest(df, 5, 50).collect()}
+    assert len(near) == 800
+    u = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(ids[i], r + 1): d for i in range(160) for r, d in enumerate(np.sort(1 - s[i])[:5])}
+    assert all(abs(near[k] - d) < 1e-12 for k, d in want.items())
+    got = {(r["vec_no"], r["neighbour"]) for r in neighbours.nearest(df, 5, 50).collect()}
+    assert {tuple(r) for r in neighbours.pairs(df, 5, 50).collect()} == {(min(p), max(p)) for p in got}
+    copies = sorted(ids[:50])
+    assert all((i, j) in got for i in ids[:50] for j in [c for c in copies if c != i][:5])
+
+
+def test_codes_and_their_bounds():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 96))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = neighbours.quantised(np.arange(200), x)
+    assert c.code.dtype == np.int8 == c.fine.dtype and c.rest.max() < 5e-3 * c.error.max()
+    first = c.code.astype("f8") * c.scale[:, None]
+    assert (np.linalg.norm(x - first, axis=1) <= c.error + 1e-6).all() and (np.linalg.norm(x - c.near(np.arange(200)), axis=1) <= c.rest + 1e-6).all()
+
+
 def test_unusable_versions_and_models(spark):
     nan = float("nan")
     rows = [
@@ -42,7 +73,7 @@ def test_unusable_versions_and_models(spark):
     ]
     use = neighbours.usable(spark.createDataFrame(rows, SCHEMA))
     assert sorted(r["vec_no"] for r in use.collect()) == [1, 2, 8, 10, 11]
-    pairs = {tuple(r) for r in neighbours.pairs(neighbours.nearest(use)).collect()}
+    pairs = {tuple(r) for r in neighbours.pairs(use).collect()}
     assert pairs == {(1, 2), (10, 11)}
     assert {r["vec_no"]: r["distance"] for r in neighbours.nearest(use).collect()}[1] == pytest.approx(0, abs=1e-9)
 
@@ -54,4 +85,4 @@ def test_ties_go_to_the_smaller_id(spark):
 
 
 def test_empty(spark):
-    assert neighbours.pairs(neighbours.nearest(neighbours.usable(spark.createDataFrame([], SCHEMA)))).count() == 0
+    assert neighbours.pairs(neighbours.usable(spark.createDataFrame([], SCHEMA))).count() == 0
