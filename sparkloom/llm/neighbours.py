@@ -185,13 +185,6 @@ def _warm(side: _Side, r: np.ndarray, v: np.ndarray) -> None:
     side.least[rows] = np.maximum(side.least[rows], low - side.bound[rows])
 
 
-def _merged(values, k: int):
-    """Of all a vector's candidates (similarity, error, neighbour) those that may be among its k best; sure: those that are, whatever the floats say."""
-    lows = F.array_sort(F.transform(values, lambda x: x["error"] - x["similarity"]))
-    kept = F.filter(values, lambda x: (F.size(values) <= k) | (-x["similarity"] - x["error"] <= F.get(lows, F.lit(k - 1))))
-    return kept
-
-
 def candidates(vectors: DataFrame, k: int = 10, stripe: int = STRIPE) -> DataFrame:
     """(model, vec_no, neighbour, similarity, error, sure) for each row of (vec_no, model, vector), in which no two of a model are copies: all that may be among
     its k most similar, similarity being off by at most error; sure tells that one is among them."""
@@ -236,11 +229,11 @@ def candidates(vectors: DataFrame, k: int = 10, stripe: int = STRIPE) -> DataFra
         return found
 
     local = tiles.groupBy("model", "dims", "i", "j").applyInPandas(meet, "model string, vec_no long, neighbour long, similarity double, error double")
-    # The heaps of a vector's tiles, of about k each, are merged.
-    all_ = local.groupBy("model", "vec_no").agg(F.collect_list(F.struct("similarity", "error", "neighbour")).alias("h")).withColumn("h", _merged(F.col("h"), k))
-    uppers = F.array_sort(F.transform("h", lambda x: -x["similarity"] - x["error"]))
-    sure = lambda x: (F.size("h") <= k) | (x["error"] - x["similarity"] < F.get(uppers, F.lit(k)))
-    return all_.select("model", "vec_no", F.explode(F.transform("h", lambda x: F.struct(x["neighbour"].alias("neighbour"), x["similarity"].alias("similarity"), x["error"].alias("error"), sure(x).alias("sure")))).alias("x")).select("model", "vec_no", "x.*")
+    # The heaps of a vector's tiles, of about k each, are merged: the k-th lower bound rules out what is below it, the bound after the k-th upper one tells what is sure.
+    low, up = (F.sort_array(F.collect_list(x)) for x in (F.col("error") - F.col("similarity"), -F.col("similarity") - F.col("error")))
+    all_ = local.groupBy("model", "vec_no").agg(F.collect_list(F.struct("neighbour", "similarity", "error")).alias("h"), F.get(low, F.lit(k - 1)).alias("low"), F.get(up, F.lit(k)).alias("up"))
+    each = all_.select("model", "vec_no", F.explode("h").alias("x"), "low", "up").where(F.col("low").isNull() | (-F.col("x.similarity") - F.col("x.error") <= F.col("low")))
+    return each.select("model", "vec_no", "x.*", (F.col("up").isNull() | (F.col("x.error") - F.col("x.similarity") < F.col("up"))).alias("sure"))
 
 
 def exact(pairs_: DataFrame, vectors: DataFrame) -> DataFrame:
