@@ -88,6 +88,12 @@ def p5_redacted(spark, d):
     return secrets.redact(chunks, secrets.credentials(chunks))
 
 
+@query()
+def p5_calibration(spark, d):
+    """How scores of candidates that were held out of the training relate to their weak labels."""
+    return secrets.calibrated(table(spark, d, "chunks"))
+
+
 @query()
 def p5_report(spark, d):
     """Files with credentials per repository beside the files left out before."""

@@ -1,13 +1,14 @@
 """Credentials embedded in source code.
 
-Candidate values are found by their surroundings or format in one pass over all contents, which also counts byte pairs of
-everything for a character Markov model. A logistic regression on the Markov likelihood of the value, its make-up, the
-surrounding identifier and the path is trained on candidates that patterns label weakly; what it scores high is redacted.
+Candidate values are found by their surroundings or format, and beyond them as any literal without spaces that holds letters and digits, in one pass over all contents, which
+also counts byte pairs of everything for a character Markov model. A logistic regression on the Markov likelihood of the value, its make-up, the
+surrounding identifier and the path is trained on candidates that patterns label weakly, calibrated on labelled candidates held out, and what it scores high is redacted.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,15 @@ from sparkloom.session import cut_lineage, spread
 
 #: At most so many weakly labelled candidates train the regression; they are those of least hash. Counts cover all data.
 TRAINED = 20_000
-THRESHOLD = 0.5
+#: A candidate counts from this calibrated score; one that no pattern proposes, of kinds LOOSE, from the second.
+THRESHOLD, LOOSE_THRESHOLD = 0.8, 0.9
+LOOSE = ("shaped", "literal")
+#: One in so many labelled candidates is held out of the training for the calibration.
+HELD_OUT, PULL = 4, 10.0
 MASK = "*"
 
 # Formats of common access tokens.
-FORMATS = r"ghp_[A-Za-z0-9]{12,}|AKIA[0-9A-Z]{6,16}|sk_live_[A-Za-z0-9]{8,}|xox[abp]-\d+-[A-Za-z0-9]{3,}|hbr\.[A-Za-z0-9]{8,}[\w.]*|eyJ[\w-]{8,}\.eyJ[\w-]+(?:\.[\w-]+)?|glpat-[\w-]{12,}|AIza[\w-]{20,}"
+FORMATS = r"ghp_[A-Za-z0-9]{12,}|AKIA[0-9A-Z]{6,16}|sk_live_[A-Za-z0-9]{8,}|xox[abp]-\d+-[A-Za-z0-9]{3,}|eyJ[\w-]{8,}\.eyJ[\w-]+(?:\.[\w-]+)?|glpat-[\w-]{12,}|AIza[\w-]{20,}"
 _IDENT = r"[A-Za-z_][\w.-]*"
 _CANDIDATES = [
     ("pem", re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*(?P<i>PRIVATE KEY)(?: BLOCK)?-----(?P<v>)")),
@@ -39,11 +44,17 @@ _CANDIDATES = [
     ("format", re.compile(rf"(?P<i>)(?<![\w+/=.-])(?P<v>{FORMATS})")),
 ]
 _PLAIN = ("plain", re.compile(rf"(?m)^[ \t]*(?:--|#|//|\*|-)?[ \t]*(?:export[ \t]+)?(?P<i>{_IDENT})[ \t]*[:=][ \t]*(?P<v>[^\s\"'`#;,(){{}}\[\]][^\s\"'`(){{}}\[\],]{{5,}})[ \t\r]*$"))
+#: Beyond the patterns: a short prefix with a separator and a run of mixed letters and digits, and any literal of letters and digits without spaces.
+_RUN = r"(?=[\w-]*\d)(?=[\w-]*[A-Z])(?=[\w-]*[a-z])[\w-]{12,}+"
+_SHAPED = re.compile(rf"(?<![\w./@-])(?P<i>)(?P<v>[A-Za-z]{{2,8}}[._-]{_RUN}(?:\.[\w-]+)*+)(?![\w(])")
+_LITERAL = re.compile(r"[\"'`](?P<i>)(?P<v>[A-Za-z0-9+/=_.~!@#$%^&*-]{12,200}+)[\"'`]")
+_ASSIGNED = re.compile(r"([A-Za-z_][\w.-]*)[\"']?\s*(?:[:=(,]|=>|:=)\s*[\w.]*\(?\s*[\"'`]?\Z")
+_WORDY = re.compile(r"[a-z]{5,}|[A-Z][a-z]{4,}")
 #: A kind's pattern is only tried where one of these is in the content in lower case; each match of the kind has one of them.
 _GATES = {
     "pem": ("private key",), "url": ("://",), "hook": ("hook",), "header": ("authorization", "x-"), "connection": ("password=", "pwd="), "prose": ("password", "passwd", "passphrase", "pw", "secret", "token", "key"),
     "login": ("login", "account", "cred", "-u", "--user"), "call": ("log_in(", "login(", "signin(", "sign_in(", "connect(", "session(", "auth(", "authenticate(", "authorize("), "attribute": ("content=", "value="),
-    "quoted": ("pass", "pwd", "secret", "token", "key", "cred", "hook", "auth"), "format": ("ghp_", "akia", "sk_live_", "xox", "hbr.", "eyj", "glpat-", "aiza"), "plain": ("pass", "pwd", "secret", "token", "key", "cred", "hook", "auth"),
+    "quoted": ("pass", "pwd", "secret", "token", "key", "cred", "hook", "auth"), "format": ("ghp_", "akia", "sk_live_", "xox", "eyj", "glpat-", "aiza"), "plain": ("pass", "pwd", "secret", "token", "key", "cred", "hook", "auth"),
 }
 _SECRET = re.compile(r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|(?:access|signing|private|encryption|secret)[_-]?key|credential|hook)s?(?:[_-]?\d+)?$|^auth")
 _HASH = re.compile(r"(?i)(?:hash|sum|digest|integrity|etag|commit|sha\d*|uuid|guid|revision|version|(?:^|[_-])id|[a-z]Id|fingerprint|public[_-]?key|certificate|field|count|name|label|url|path)(?:[_-]?\d+)?$")
@@ -58,8 +69,8 @@ _AROUND = " \t\r\n\"'`#*>|;+,\\()[]/-"
 _KEY_LINE = re.compile(r"(?=.*[A-Z0-9+/=])[A-Za-z0-9+/=]+|(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset): .*")
 _KEY_REST = re.compile(r"(?:[A-Za-z0-9+/=]|\\[nr])*")
 _BEFORE = re.compile(r"[\w.-]*\Z")
-KINDS = [k for k, _ in _CANDIDATES] + ["plain"]
-FEATURES = ["one", "likelihood", "length", "digits", "upper", "symbols", "classes", "spaces", "secret", "hash", "placeholder", "format", "doc", "hex", *KINDS]
+KINDS = [k for k, _ in _CANDIDATES] + ["plain", *LOOSE]
+FEATURES = ["one", "likelihood", "length", "digits", "upper", "symbols", "classes", "spaces", "secret", "hash", "placeholder", "format", "shaped", "wordy", "doc", "hex", *KINDS]
 
 
 def key_run(content: str, at: int, begun: bool) -> tuple[int, bool]:
@@ -92,8 +103,8 @@ def candidates(content: str, path: str) -> list[tuple[str, str, int, int]]:
     found: dict[int, tuple[str, str, int, int]] = {}
     spans: list[tuple[int, int]] = []
     config = bool(_CONFIG.search(path))
-    for kind, p in [*_CANDIDATES, _PLAIN]:
-        if not any(x in low for x in _GATES[kind]) or kind == "plain" and not config and "#" not in low and "//" not in low and "--" not in low and "*" not in low:
+    for kind, p in [*_CANDIDATES, _PLAIN, ("shaped", _SHAPED), ("literal", _LITERAL)]:
+        if kind in _GATES and not any(x in low for x in _GATES[kind]) or kind == "plain" and not config and "#" not in low and "//" not in low and "--" not in low and "*" not in low:
             continue
         for m in p.finditer(content):
             second = m["v"] is None
@@ -107,6 +118,11 @@ def candidates(content: str, path: str) -> list[tuple[str, str, int, int]]:
                 else:
                     b = content.find("\n", end) if content.find("\n", end) > 0 else len(content)
             value = content[a:b]
+            if kind in LOOSE:
+                if not re.search(r"\d", value) or not re.search(r"[A-Za-z]", value):
+                    continue
+                before = _ASSIGNED.search(content, max(0, a - 80), a)
+                ident = before[1] if before else ""
             if kind == "attribute" and not _SECRET.search(ident):
                 continue
             if kind == "quoted":  # the identifier begins before its last word
@@ -117,9 +133,10 @@ def candidates(content: str, path: str) -> list[tuple[str, str, int, int]]:
                     continue
                 if kind == "plain" and not config and not _COMMENT.match(m[0]):
                     continue
-            if any(a < y and x < b for x, y in spans):
+            at = bisect_left(spans, (a, b))
+            if at < len(spans) and spans[at][0] < b or at and spans[at - 1][1] > a:
                 continue
-            spans.append((a, b))
+            spans.insert(at, (a, b))
             found[a] = (kind, ident, a, b)
     return [found[a] for a in sorted(found)]
 
@@ -132,7 +149,7 @@ def features(kind: str, ident: str, value: str, path: str, model: np.ndarray) ->
     digits, upper, lower = sum(c.isdigit() for c in value) / n, sum(c.isupper() for c in value) / n, sum(c.islower() for c in value) / n
     symbols = sum(not c.isalnum() and not c.isspace() for c in value) / n
     f = [1, like + 4, min(4.0, np.log2(n) - 3), digits, upper, symbols, sum(x > 0 for x in (digits, upper, lower, symbols)) - 2, " " in value]
-    f += [bool(_SECRET.search(ident)) or kind in ("url", "header", "connection", "prose", "login", "call"), bool(_HASH.search(ident)), bool(_PLACEHOLDER.match(value)), bool(_FORMAT.match(value)), bool(re.search(r"(?i)(?:^|/)(?:docs?|examples?|tests?|fixtures?)/|\.md$", path)), bool(re.fullmatch(r"[0-9a-f]{32,}|[0-9a-f-]{36}", value))]
+    f += [bool(_SECRET.search(ident)) or kind in ("url", "header", "connection", "prose", "login", "call"), bool(_HASH.search(ident)), bool(_PLACEHOLDER.match(value)), bool(_FORMAT.match(value)), bool(_SHAPED.fullmatch(value)), sum(map(len, _WORDY.findall(value))) / n, bool(re.search(r"(?i)(?:^|/)(?:docs?|examples?|tests?|fixtures?)/|\.md$", path)), bool(re.fullmatch(r"[0-9a-f]{32,}|[0-9a-f-]{36}", value))]
     return [float(x) for x in [*f, *(kind == k for k in KINDS)]]
 
 
@@ -143,10 +160,15 @@ def weak_label(kind: str, ident: str, value: str) -> int:
     if kind == "pem" or _FORMAT.match(value) or kind == "hook" and re.search(r"sig=|[A-Za-z0-9]{20,}", value):
         return 1
     mixed = sum(bool(re.search(x, value)) for x in ("[a-z]", "[A-Z]", r"\d", r"[^\w\s]"))
+    if kind in LOOSE and (re.fullmatch(r"[0-9a-fA-F-]+|[\d.:TZ+-]+", value) or not _SECRET.search(ident)):
+        # What is not named as a secret is no proof of anything, but hexadecimal numbers, dates and versions are none.
+        return 0 if re.fullmatch(r"[0-9a-fA-F-]+|[\d.:TZ+-]+|v?\d+(?:\.\d+)+[\w.-]*", value) or sum(map(len, _WORDY.findall(value))) > 0.6 * len(value) else -1
     if kind not in ("format", "hook") and len(value) >= 8 and mixed >= 2 and re.search(r"\d", value):
         return 1
     if re.fullmatch(r"[a-z_ -]+", value):
         return 0
+    if kind in LOOSE and sum(map(len, _WORDY.findall(value))) > 0.6 * len(value):
+        return 0
     return -1
 
 
@@ -167,6 +189,26 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np
     return w
 
 
+def calibration(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) by which a logit becomes that of the share of positives at it, fitted on candidates held out and drawn to (1, 0), which a handful of them hardly leaves."""
+    if len({*y.tolist()}) < 2:
+        return 1.0, 0.0
+    a, b = 1.0, 0.0
+    # Labels a little inside 0 and 1, so that a clean separation does not make the slope endless.
+    t = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y == 0).sum() + 2))
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        g = np.array([(p - t) @ z, (p - t).sum()]) + PULL * np.array([a - 1, b])
+        w = p * (1 - p) + 1e-9
+        h = np.array([[w @ (z * z) + PULL, w @ z], [w @ z, w.sum() + PULL]])
+        d = np.linalg.solve(h, g)
+        d /= max(1.0, np.abs(d).max() / 0.5)  # no step beyond where the curve is like its tangent
+        a, b = a - d[0], b - d[1]
+        if np.abs(d).max() < 1e-8:
+            break
+    return (float(a), float(b)) if a > 0 else (1.0, 0.0)
+
+
 def _first_pass(chunks: DataFrame) -> DataFrame:
     """Candidates (code null) and, of each batch, counts of byte pairs (code not null)."""
 
@@ -194,6 +236,30 @@ def _first_pass(chunks: DataFrame) -> DataFrame:
 _COLUMNS = ["chunk_no", "repo_id", "file_path", "line_no", "begin", "end", "kind", "ident", "value", "code", "n"]
 
 
+def _model(found: DataFrame, trained: int) -> tuple[np.ndarray, np.ndarray, tuple[float, float], pd.DataFrame]:
+    """(Markov model, weights, calibration, the candidates held out with their label and calibrated score) from what _first_pass found."""
+    pairs = {r["code"]: r["s"] for r in found.where("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("s")).collect()}  # at most 65,536 rows
+    counts = np.ones((256, 256))
+    for code, n in pairs.items():
+        counts[code >> 8, code & 255] += n
+    model = np.log(counts / counts.sum(axis=1, keepdims=True)).ravel().astype("f4")
+    rows = found.where("code IS NULL").select("kind", "ident", "value", "file_path").dropDuplicates(["kind", "ident", "value"])
+    loose = F.col("kind").isin(*LOOSE)
+    ordered = lambda df: df.orderBy(F.xxhash64("kind", "ident", "value")).limit(trained)
+    sample = pd.concat([ordered(rows.where(~loose)).toPandas(), ordered(rows.where(loose)).toPandas()], ignore_index=True)
+    sample["label"] = np.array([weak_label(k, i, v) for k, i, v in zip(sample["kind"], sample["ident"], sample["value"])], int)
+    x = np.array([features(k, i, v, p, model) for k, i, v, p in zip(sample["kind"], sample["ident"], sample["value"], sample["file_path"])]).reshape(-1, len(FEATURES))
+    y, held = sample["label"].to_numpy(), np.arange(len(sample)) % HELD_OUT == HELD_OUT - 1
+    w = fit(x[(y >= 0) & ~held], y[(y >= 0) & ~held])
+    own = (y >= 0) & held
+    z = x @ w
+    a, b = calibration(z[own], y[own])
+    # Held-out candidates only tell how scores relate to labels; the weights that are used come from all.
+    final = fit(x[y >= 0], y[y >= 0])
+    out = sample[held].assign(score=1 / (1 + np.exp(-np.clip(a * z[held] + b, -30, 30))))
+    return model, final, (a, b), out
+
+
 def scored(chunks: DataFrame, trained: int = TRAINED) -> DataFrame:
     """(chunk_no, repo_id, file_path, line_no, begin, end, kind, ident, value, score) of every candidate in every content.
 
@@ -202,28 +268,29 @@ def scored(chunks: DataFrame, trained: int = TRAINED) -> DataFrame:
     Rows that repeat give rows that repeat.
     """
     found = cut_lineage(_first_pass(chunks))
-    pairs = {r["code"]: r["s"] for r in found.where("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("s")).collect()}  # at most 65,536 rows
-    counts = np.ones((256, 256))
-    for code, n in pairs.items():
-        counts[code >> 8, code & 255] += n
-    model = np.log(counts / counts.sum(axis=1, keepdims=True)).ravel().astype("f4")
+    model, w, (a, b), _ = _model(found, trained)
     rows = found.where("code IS NULL").drop("code", "n")
-    sample = rows.select("kind", "ident", "value", "file_path").dropDuplicates(["kind", "ident", "value"]).orderBy(F.xxhash64("kind", "ident", "value")).limit(trained).toPandas()
-    labels = np.array([weak_label(k, i, v) for k, i, v in zip(sample["kind"], sample["ident"], sample["value"])])
-    x = np.array([features(k, i, v, p, model) for k, i, v, p in zip(sample["kind"], sample["ident"], sample["value"], sample["file_path"])]).reshape(-1, len(FEATURES))
-    w = fit(x[labels >= 0], labels[labels >= 0])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            z = np.array([features(k, i, v, p, model) for k, i, v, p in zip(b["kind"], b["ident"], b["value"], b["file_path"])]).reshape(-1, len(FEATURES)) @ w
-            yield b.assign(score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        for g in batches:
+            z = np.array([features(k, i, v, p, model) for k, i, v, p in zip(g["kind"], g["ident"], g["value"], g["file_path"])]).reshape(-1, len(FEATURES)) @ w
+            yield g.assign(score=1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))))
 
     return rows.mapInPandas(score, rows.schema.simpleString()[7:-1].replace(":", " ") + ", score double")
 
 
-def credentials(chunks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The candidates that score at least threshold."""
-    return scored(chunks).where(F.col("score") >= threshold)
+def calibrated(chunks: DataFrame, trained: int = TRAINED) -> DataFrame:
+    """(kind, bin, candidates, score, labelled, positive): the candidates held out of the training, by kind and tenth of the score: their mean score and, of those with a weak label,
+    the share that is positive."""
+    held = _model(cut_lineage(_first_pass(chunks)), trained)[3]
+    out = chunks.sparkSession.createDataFrame(list(zip(held["kind"], held["label"].astype(int).tolist(), held["score"].astype(float).tolist())), "kind string, label int, score double")
+    sure = F.col("label") >= 0
+    return out.groupBy("kind", F.least(F.floor(F.col("score") * 10), F.lit(9)).alias("bin")).agg(F.count("*").alias("candidates"), F.avg("score").alias("score"), F.count_if(sure).alias("labelled"), F.avg(F.when(sure, F.col("label"))).alias("positive"))
+
+
+def credentials(chunks: DataFrame, threshold: float = THRESHOLD, loose: float = LOOSE_THRESHOLD) -> DataFrame:
+    """The candidates that score at least threshold, those that no pattern proposes at least loose."""
+    return scored(chunks).where(F.col("score") >= F.when(F.col("kind").isin(*LOOSE), loose).otherwise(threshold))
 
 
 def continued(chunks: DataFrame, found: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def frame(spark):
 
 def test_found_lines_and_redaction(spark):
     df, want = frame(spark)
-    found = secrets.credentials(df)
+    found = secrets.credentials(df, 0.5)  # two dozen labels give no high scores
     rows = found.collect()
     assert {(r["repo_id"], r["file_path"], r["line_no"]) for r in rows if r["line_no"] is not None} == want
     assert 903 in {r["chunk_no"] for r in rows}
@@ -80,3 +80,27 @@ def test_gates_and_whole_values():
     model = np.zeros(65_536)
     model[ord("b") * 257] = -8
     assert secrets.features("quoted", "key", "a" * 5000 + "b" * 5000, "a.py", model)[1] < 1
+
+
+def test_literals_beyond_the_patterns_are_scored():
+    found = secrets.candidates('x = f("Zk3v9QmT7wLp2Xc8Rb5N", "plain words only", "nodigitsatallhere")\nsend(acme_Zk3v9QmT7wLp2Xc8Rb5N)\n', "a.py")
+    assert [(k, i) for k, i, *_ in found] == [("literal", "x"), ("shaped", "send")]
+    assert secrets.weak_label("literal", "x", "2024-01-02T03:04:05Z") == 0 == secrets.weak_label("literal", "x", "application-version-1") and secrets.weak_label("literal", "x", "Zk3v9QmT7wLp2Xc8Rb5N") == -1
+    # Kinds without labels are told by what the labelled ones have in common.
+    assert secrets.FEATURES.index("shaped") and secrets.features("format", "", "ghp_pJPM170wGlvnKynZQogNjMV5ve4FTJM8Dixr", "a", np.zeros(65_536))[secrets.FEATURES.index("shaped")] == 1
+
+
+def test_calibration():
+    r = np.random.default_rng(1)
+    z = r.normal(0, 3, 4000)
+    y = (r.random(4000) < 1 / (1 + np.exp(-(0.5 * z - 1)))).astype(int)
+    a, b = secrets.calibration(z, y)
+    assert abs(a - 0.5) < 0.1 and abs(b + 1) < 0.2
+    assert secrets.calibration(z[:3], np.ones(3)) == (1.0, 0.0)
+
+
+def test_held_out_scores(spark):
+    df, _ = frame(spark)
+    rows = secrets.calibrated(df).collect()
+    assert rows and all(0 <= r["bin"] <= 9 and 0 <= r["score"] <= 1 and r["labelled"] <= r["candidates"] for r in rows)
+    assert secrets.calibrated(spark.createDataFrame([], SCHEMA)).count() == 0
