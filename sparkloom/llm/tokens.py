@@ -53,11 +53,27 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(JAVA_PATTERN), F.lit(0))
 
 
-def _places(df: DataFrame, key: str, text: str) -> DataFrame:
-    return df.select(F.col(key).alias("_key"), F.posexplode(pretokens(F.col(text))).alias("_pos", "_word"))
+#: Between the pre-tokens of a text, once it is cut; where a text holds this character or the next one, they are written as the two of ESCAPED.
+_END, _ESCAPE = "\x01", "\x02"
+ESCAPED = {_ESCAPE: _ESCAPE + "b", _END: _ESCAPE + "a"}
 
 
-def dictionary(df: DataFrame, text: str, path: str) -> DataFrame:
+def cut(text: Column) -> Column:
+    """The text with an end mark after each pre-token: cut once, it is split again at the mark for next to nothing."""
+    plain = F.regexp_replace(text, JAVA_PATTERN, "$0" + _END)
+    escaped = lambda w: F.replace(F.replace(w, F.lit(_ESCAPE), F.lit(ESCAPED[_ESCAPE])), F.lit(_END), F.lit(ESCAPED[_END]))
+    marked = F.array_join(F.transform(pretokens(text), lambda w: F.concat(escaped(w), F.lit(_END))), "")
+    return F.when(text.contains(_END) | text.contains(_ESCAPE), marked).otherwise(plain)
+
+
+def _places(kept: DataFrame) -> DataFrame:
+    """(_key, _pos, _word) of every pre-token of texts that are cut (_key, _cut)."""
+    word = F.col("_w")
+    whole = F.when(word.contains(_ESCAPE), F.replace(F.replace(word, F.lit(ESCAPED[_END]), F.lit(_END)), F.lit(ESCAPED[_ESCAPE]), F.lit(_ESCAPE))).otherwise(word)
+    return kept.select("_key", F.posexplode(F.split("_cut", _END)).alias("_pos", "_w")).where("_w != ''").select("_key", "_pos", whole.alias("_word"))
+
+
+def dictionary(places: DataFrame, path: str) -> DataFrame:
     """Each distinct pre-token (_word) with the number of its places (_n) and its ids (_ids)."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,43 +82,63 @@ def dictionary(df: DataFrame, text: str, path: str) -> DataFrame:
             # A pre-token is one piece of the pattern, so its ids do not depend on its neighbours.
             yield b.assign(_ids=[enc.encode_ordinary(w) for w in b["_word"]])
 
-    words = df.select(F.explode(pretokens(F.col(text))).alias("_word")).groupBy("_word").agg(F.count("*").alias("_n"))
+    words = places.select("_word").groupBy("_word").agg(F.count("*").alias("_n"))
     return words.mapInPandas(encode, "_word string, _n long, _ids array<int>")
 
 
-def joined(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """(_key, _pos, _ids) of every pre-token of every text."""
-    words = cut_lineage(dictionary(df, text, path))
-    total = words.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    hot = (F.col("_n") * HOT_PARTS >= F.lit(total)) & (F.length("_word") <= HOT_CHARS)
-    marked = _places(df, key, text).join(F.broadcast(words.where(hot).select("_word", "_ids")), "_word", "left")
-    cold = marked.where(F.col("_ids").isNull()).drop("_ids").join(words.where(~hot).select("_word", "_ids"), "_word")
-    return marked.where(F.col("_ids").isNotNull()).select("_key", "_pos", "_ids").unionByName(cold.select("_key", "_pos", "_ids"))
+def one_text(rows: DataFrame) -> DataFrame:
+    """(_k, _t) with each key once: of several texts of a key the longest counts, of equally long ones that of the larger hash. A null key is a key."""
+    seen = rows.select(F.col("_k").alias("_k2"), F.coalesce(F.length("_t"), F.lit(-1)).alias("_n"), F.xxhash64("_t").alias("_h"))
+    again = seen.groupBy("_k2").agg(F.count("*").alias("_c"), F.max(F.struct("_n", "_h")).alias("_x")).where("_c > 1").select("_k2", "_x.*")
+    again = cut_lineage(again)
+    alone = rows.join(again, F.col("_k").eqNullSafe(F.col("_k2")), "left_anti")
+    best = rows.join(again, F.col("_k").eqNullSafe(F.col("_k2")) & (F.coalesce(F.length("_t"), F.lit(-1)) == F.col("_n")) & (F.xxhash64("_t") == F.col("_h")))
+    return alone.unionByName(best.select("_k", "_t").dropDuplicates(["_k"]))
+
+
+def _kept(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(_key, _cut): each key's text, cut; an empty or null one is null."""
+    rows = one_text(spread(df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))))
+    return cut_lineage(rows.select(F.col("_k").alias("_key"), F.when(F.length("_t") > 0, cut(F.col("_t"))).alias("_cut")))
+
+
+def _joined(kept: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """((_key, _pos, _ids) of every pre-token of every text, the most ids that one of them has)."""
+    words = cut_lineage(dictionary(_places(kept), path))
+    told = words.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.max(F.size("_ids")), F.lit(1)).alias("most")).first()
+    is_hot = (F.col("_n") * HOT_PARTS >= F.lit(told["n"])) & (F.length("_word") <= HOT_CHARS)
+    hot = F.broadcast(words.where(is_hot).select("_word", "_ids"))
+    places = _places(kept)
+    cold = places.join(hot, "_word", "left_anti").join(words.where(~is_hot).select("_word", "_ids"), "_word")
+    return places.join(hot, "_word").select("_key", "_pos", "_ids").unionByName(cold.select("_key", "_pos", "_ids")), told["most"]
 
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, ids): the token ids of every text.
 
-    Null and empty texts give the empty list; texts of any length are encoded whole. Rows that repeat (key, text) give one
-    row. A null key is a key like any other. Other columns of df do not matter.
+    Null and empty texts give the empty list; texts of any length are encoded whole. Each key gives one row: of several texts
+    of a key the longest counts, of equally long ones that of the larger hash. A null key is a key like any other. Other columns of df do not matter.
     """
-    rows = spread(df.select(F.col(key).alias("_k"), F.col(text).alias("_t")))
-    found = joined(rows.where(F.length("_t") > 0), "_k", "_t", path or rank_file())
-    lists = found.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_pos", "_ids"))).alias("_all"))
-    # A row that repeats a key with the same text repeats its places, which are neighbours now: one of each is kept.
-    lists = lists.withColumn("_all", F.filter("_all", lambda x, i: (i == 0) | (x["_pos"] != F.get(F.col("_all"), i - 1)["_pos"])))
-    ids = lists.select(F.col("_key").alias("_k2"), F.flatten(F.transform("_all", lambda x: x["_ids"])).alias("ids"))
-    keys = rows.select("_k").distinct()
-    empty = F.array().cast("array<int>")
-    return keys.join(ids, F.col("_k").eqNullSafe(F.col("_k2")), "left").select(F.col("_k").alias(key), F.coalesce("ids", empty).alias("ids"))
+    path = path or rank_file()
+    kept = _kept(df, key, text)
+    found, most = _joined(kept, path)
+    # An id and its place in one number, so that a list of them is sorted and shuffled as plain numbers: the place of its pre-token, its place in it, itself.
+    bits = max(_ranks(path).values()).bit_length()
+    room = 1 << (63 - bits)
+    each = found.select("_key", "_pos", F.posexplode("_ids").alias("_sub", "_id"))
+    place = F.col("_pos").cast("long") * most + F.col("_sub")
+    code = F.when(F.col("_pos") < room // most, F.shiftleft(place, bits).bitwiseOR(F.col("_id").cast("long"))).otherwise(F.raise_error(F.lit("a text of too many pre-tokens")).cast("long"))
+    codes = each.select("_key", code.alias("_code")).unionByName(kept.select("_key", F.lit(None).cast("long").alias("_code")))
+    lists = codes.groupBy("_key").agg(F.sort_array(F.collect_list("_code")).alias("_all"))
+    return lists.select(F.col("_key").alias(key), F.transform("_all", lambda x: x.bitwiseAND((1 << bits) - 1).cast("int")).alias("ids"))
 
 
 def count_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, n_tokens): as encode_corpus, but only the number of ids, so no list is ever built."""
-    rows = spread(df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))).dropDuplicates(["_k"])
-    found = joined(rows.where(F.length("_t") > 0), "_k", "_t", path or rank_file())
-    counts = found.groupBy("_key").agg(F.sum(F.size("_ids")).alias("n_tokens"))
-    return rows.select("_k").join(counts, F.col("_k").eqNullSafe(F.col("_key")), "left").select(F.col("_k").alias(key), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    kept = _kept(df, key, text)
+    found, _ = _joined(kept, path or rank_file())
+    counts = found.select("_key", F.size("_ids").alias("_n")).unionByName(kept.select("_key", F.lit(0).alias("_n")))
+    return counts.groupBy(F.col("_key").alias(key)).agg(F.sum("_n").alias("n_tokens"))
 
 
 def token_table(spark, path: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from sparkloom.llm import packing, tokens
 
 pytestmark = pytest.mark.skipif(not os.path.exists(tokens.rank_file()), reason="no tokenizer files")
-TEXTS = [None, "", " ", "Hello  world\r\n\tfoo", "naïve 漢字 🚀👩‍💻 ١٢٣ don't", "<|endoftext|> a", "a" * 30_000, "\u00a0\u2003x \u200b", "the the the " * 500, "x\n\n\n  y"]
+TEXTS = [None, "", " ", "Hello  world\r\n\tfoo", "naïve 漢字 🚀👩‍💻 ١٢٣ don't", "<|endoftext|> a", "a" * 30_000, "\u00a0\u2003x \u200b", "the the the " * 500, "x\n\n\n  y", "a\x01b \x02\x02a\x02b\x01", "\x01"]
 
 
 def frame(spark):
@@ -29,6 +29,14 @@ def test_a_hot_word_and_rare_ones_join_alike(spark, monkeypatch):
     assert got == {i: len(enc.encode_ordinary(t or "")) for i, t in enumerate(TEXTS)}
 
 
+def test_of_several_texts_of_a_key_one_counts(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b c"), (1, "a b c"), (1, None), (None, "x"), (None, None), (2, None), (2, None)], "doc_id long, text string")
+    enc = tokens.encoding(tokens.rank_file())
+    want = {1: enc.encode_ordinary("a b c"), None: enc.encode_ordinary("x"), 2: []}
+    assert {r["doc_id"]: r["ids"] for r in tokens.encode_corpus(df).collect()} == want and tokens.encode_corpus(df).count() == 3
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(df).collect()} == {k: len(v) for k, v in want.items()}
+
+
 def test_empty_table(spark):
     e = spark.createDataFrame([], "doc_id long, text string")
     assert tokens.encode_corpus(e).count() == 0 and tokens.count_tokens(e).count() == 0
