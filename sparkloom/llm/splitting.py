@@ -53,17 +53,21 @@ def ranges(texts: DataFrame, key: str, text: str, limit: int, overlap: int) -> D
     return long.mapInPandas(cut, f"_key {kind}, _k int, _last boolean, _from long, _to long, _base long, _part string")
 
 
-def file_ranges(spark: SparkSession, files: list[str], limit: int, overlap: int, most: int = 1_000_000) -> DataFrame:
+def file_ranges(spark: SparkSession, files: list[str] | DataFrame, limit: int, overlap: int) -> DataFrame:
     """The ranges of files on storage that all executors see, as ranges() makes them; workers seek to their range, so no file is loaded whole.
 
-    Offsets are bytes: a part holds one character (of ISO-8859-1) for each byte. Files within the limit have no ranges.
+    files: paths, or a table with a column path. Sizes are asked for by the workers. Offsets are bytes: a part holds one character (of ISO-8859-1) for each byte. Files within the limit have no ranges.
     """
     stride, depth = _geometry(limit, overlap)
-    sizes = [(f, os.path.getsize(f)) for f in dict.fromkeys(files[:most])]
-    if len(files) > most:
-        raise ValueError(f"more than {most} files")
-    table = spark.createDataFrame([(f, n, -(-n // stride)) for f, n in sizes if n > limit], "_key string, _n long, _many int")
-    places = table.select("_key", "_n", "_many", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)).alias("_k")).repartition(4 * parallelism(spark))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n = pd.Series([os.path.getsize(f) for f in b["_key"]], dtype="int64")
+            yield pd.DataFrame({"_key": b["_key"], "_n": n, "_many": (n + stride - 1) // stride})
+
+    paths = files.select(F.col("path").alias("_key")) if isinstance(files, DataFrame) else spark.createDataFrame([(f,) for f in files], "_key string")
+    sized = paths.distinct().mapInPandas(measure, "_key string, _n long, _many int").where(F.col("_n") > limit)
+    places = sized.select("_key", "_n", "_many", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)).alias("_k")).repartition(4 * parallelism(spark))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -80,7 +84,7 @@ def file_ranges(spark: SparkSession, files: list[str], limit: int, overlap: int,
     return places.mapInPandas(read, "_key string, _k int, _last boolean, _from long, _to long, _base long, _part string")
 
 
-def split_files(spark: SparkSession, files: list[str], limit: int = 6000, overlap: int = 400) -> DataFrame:
+def split_files(spark: SparkSession, files: list[str] | DataFrame, limit: int = 6000, overlap: int = 400) -> DataFrame:
     """The pieces of files longer than limit bytes, as pieces() gives them: start and end are bytes, content is text in UTF-8.
 
     A cut lies inside a character only where no white space is in reach; its bytes are then shown as replacement characters.
@@ -167,9 +171,13 @@ def split_chunks(chunks: DataFrame, limit: int = 6000, overlap: int = 400) -> Da
     and end_line are lines of the file: a context header is the first line of content but no line of the file. Null start_line gives null lines. parent_symbol is the chunk's own, else the name declared last before the piece, else the first of symbol_names,
     else the stem of the file's name: data without declarations belongs to the file.
     """
-    long = chunks.where(F.length("content") > limit)
+    # The last version of each chunk is found by numbers alone; only the contents that are cut are moved.
+    when = F.coalesce("ingested_at", F.lit("1900-01-01").cast("timestamp_ntz").cast(chunks.schema["ingested_at"].dataType))
+    versions = chunks.where("content IS NOT NULL").groupBy("chunk_no").agg(F.max(F.struct(when.alias("t"), F.length("content").alias("n"), F.xxhash64("content").alias("h"))).alias("x"))
+    last = versions.where(F.col("x.n") > limit).select(F.col("chunk_no").alias("_c"), F.col("x.n").alias("_n"), F.col("x.h").alias("_h"))
+    long = chunks.where(F.length("content") > limit).join(last, F.col("chunk_no").eqNullSafe(F.col("_c")) & (F.length("content") == F.col("_n")) & (F.xxhash64("content") == F.col("_h")), "left_semi")
     picked = ["content", "start_line", "parent_symbol", "symbol_names", "context_header", "repo_id", "file_path", "language", "id"]
-    one = long.groupBy("chunk_no").agg(F.max_by(F.struct(*picked), F.struct(F.coalesce("ingested_at", F.lit("1900-01-01").cast("timestamp_ntz").cast(long.schema["ingested_at"].dataType)), F.length("content"), "content")).alias("c")).select("chunk_no", "c.*")
+    one = long.groupBy("chunk_no").agg(F.max_by(F.struct(*picked), F.struct(when, "start_line", "parent_symbol")).alias("c")).select("chunk_no", "c.*")
     cut = pieces(one, "chunk_no", "content", limit, overlap)
     headed = F.when(F.col("context_header").isNotNull(), 1).otherwise(0)
     start = F.col("start_line") + F.greatest(F.col("lines_before") - headed, F.lit(0))

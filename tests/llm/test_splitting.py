@@ -73,6 +73,8 @@ def test_files_are_cut_by_seeking(spark, tmp_path):
             assert raw[r["start"] : r["end"]].decode() == r["content"] and r["end"] - r["start"] <= 6000 and r["lines_before"] == raw[: r["start"]].count(b"\n")
         assert all(1 <= a["end"] - b["start"] <= 400 for a, b in zip(own, own[1:]))
     assert not [r for r in got if r["file_path"].endswith("c.txt")]
+    table = spark.createDataFrame([(str(tmp_path / n),) for n in texts], "path string")
+    assert splitting.split_files(spark, table).count() == len(got)
 
 
 def test_windows_hold_no_texts(spark):
