@@ -26,13 +26,16 @@ UNKNOWN, CONFLICT = "UNKNOWN", "CONFLICT"
 MOST_LICENSES = 2000
 
 _YEAR = r"\d{4}(?: ?[-–,] ?\d{4})*"
-#: A statement of ownership ends before the notice that follows it. Bounded, so that it is found in linear time.
+#: A statement of ownership ends before the notice that follows it, at the latest with its sentence.
 _COPY = re.compile(
-    rf"(?:@?Copyright:? ?(?:(?:\(c\)|©),? ?)?|(?:\(c\)|©) ?(?=\d))(?:{_YEAR},? ?)?(?:by )?[^.:;]{{2,70}}?\.?(?= *(?:$|SPDX-|@?Licen[sc]|Released |This |These |Terms:|All |Dual|Portions|Parts |Distributed |@copyright|Published))|All rights reserved\.?",
+    rf"(?:@?Copyright:? ?(?:(?:\(c\)|©),? ?)?|(?:\(c\)|©) ?(?=\d))(?:{_YEAR},? ?)?(?:by )?[^.:;]{{2,}}?\.?(?= *(?:$|SPDX-|@?Licen[sc]|Released |This |These |Terms:|All |Dual|Portions|Parts |Distributed |@copyright|Published))|All rights reserved\.?",
     re.I,
 )
 
 
+_DENIED = re.compile(r"(?i)\b(?:not|never|no longer|isn't|aren't|formerly|previously|used to be|instead of|unlike|incompatible with)\b")
+
+
 def _words(text: str) -> str:
     return " ".join(re.escape(w) for w in text.split())
 
@@ -75,7 +78,7 @@ class Notices:
             rf"Terms: https?://[^\s/]+/(?:[\w-]+/)*{expr}/?",
             rf"(?:Dual|Multi|Tri)[- ]licen[sc]ed:? (?:choose |under )?(?:either )?{expr}",
             rf"(?:(?:This|These) (?:file|code|program|software|module|source|work|files)s? (?:is|are) )?(?:free software,? )?(?:distributed|released|licen[sc]ed|available|published|provided|covered|made available|offered) {under} {expr}",
-            rf"(?:Portions|Parts) of this (?:file|module|code) come from [^:;]{{2,80}}? and (?:stay|remain|are) (?:licen[sc]ed )?{under} {expr}",
+            rf"(?:Portions|Parts) of this (?:file|module|code) come from [^:;]{{2,}}? and (?:stay|remain|are) (?:licen[sc]ed )?{under} {expr}",
         ]
         self.short = [re.compile(rf"{s}{rest}[.\s]*", re.I) for s in short]
         self.line = [re.compile(rf"\W*{s}{rest}\W*", re.I) for s in short[:3]]
@@ -83,9 +86,9 @@ class Notices:
         for r in rows:
             title, _, body = r["full_text"].partition("[holder]")
             heading = " ".join(title.split("Copyright")[0].split())
-            body = _words(body).replace("\\[year\\]", _YEAR).replace("\\[holder\\]", ".{2,80}")
+            body = _words(body).replace("\\[year\\]", _YEAR).replace("\\[holder\\]", ".{2,}?")
             # What is before the body: the optional heading and line of ownership, in this order.
-            before = re.compile(rf"(?:[#=\s*-]*)(?:Licen[sc]e )?(?:{_words(heading)} ?)?(?:(?:Copyright|©|\(c\))[^;]{{0,120}})?", re.I)
+            before = re.compile(rf"(?:[#=\s*-]*)(?:Licen[sc]e )?(?:{_words(heading)} ?)?(?:(?:Copyright|©|\(c\))[^;]*)?", re.I)
             self.full.append((r["license_id"], re.compile(body, re.I), before))
         self.unknown = re.compile(rf"(?:SPDX-License-Identifier: ?|@licen[sc]e:? |Licen[sc]e: ){unknown}{rest}[.\s]*", re.I)
         self.trigger = re.compile(r"(?i)licen[sc]|copyright|spdx|release[ds]? under|distributed under|terms: |published under|©|" + "|".join(_words(" ".join(r["full_text"].partition("[holder]")[2].split()[:4])) for r in rows))
@@ -102,8 +105,6 @@ class Notices:
             m = p.search(flat)
             if m and before.fullmatch(flat, 0, m.start()) and not _COPY.sub("", flat[m.end() :]).strip(" ."):
                 return [name]
-        if len(flat) > 1500:
-            return []
         flat = " ".join(_COPY.sub(" ", flat).split())
         for p in self.short:
             m = p.fullmatch(flat)
@@ -163,7 +164,8 @@ class Notices:
         if not m:
             return []
         section = " ".join(m[1].split())
-        x = self.expression(section)
+        # What a sentence denies or tells of the past is not stated.
+        x = self.expression(" ".join(t for t in re.split(r"(?<=[.;!?])\s+|;\s*", section) if not _DENIED.search(t)))
         return [x] if x else [UNKNOWN] if re.search(r"(?i)licen|rights|terms|published|released", section) else []
 
 

@@ -44,5 +44,12 @@ def test_repositories_and_conflicts(spark):
     }
 
 
+def test_long_notices_and_denials(spark):
+    long = "# SPDX-License-Identifier: BBL; see the file NOTICE for " + "the very long story of " * 120 + "it.\n"
+    owner = "# Copyright 2020 the " + "very " * 40 + "old Works. Licensed under the Able Arch License 2.0\n"
+    got = run(spark, [(1, "a.py", long), (1, "b.py", owner), (2, "README.md", "# x\n\n## License\n\nNot released under BBL; ask us.\n"), (3, "README.md", "# x\n\n## License\n\nThis is not BBL any more. Released under AAA-1.0.\n")], (1, 2, 3))
+    assert len(long) > 2500 and got == {(1, "a.py"): "BBL", (1, "b.py"): "AAA-2.0", (1, ""): "UNKNOWN", (2, ""): "UNKNOWN", (3, ""): "AAA-1.0"}
+
+
 def test_empty(spark):
     assert run(spark, [], ()) == {}
