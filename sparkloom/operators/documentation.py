@@ -6,6 +6,7 @@ import json
 import subprocess
 import tomllib
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from sparkloom.operators.graph import degrees, mermaid, top_files, within
 # Marks of a route in a decorator.
 ROUTES = [".route(", ".get(", ".post(", ".put(", ".delete(", ".patch(", "api_view", "api_route"]
 LICENSE_FILES = ["LICENSE", "LICENSE.md", "LICENSE.txt", "LICENSE.rst", "COPYING"]
+#: Manifests that may declare a licence, in the order in which they are asked.
+DECLARING = ["pyproject.toml", "package.json"]
 
 
 def file_parts(chunk_docs: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,11 +172,35 @@ def dependencies_document(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.groupBy(*keys).agg(F.concat(F.lit("# Dependencies\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_path", part.alias("p")))), lambda x: x["p"]), "\n\n"), F.lit("\n")).alias("text"))
 
 
+#: A declared licence longer than this is a text, not a name.
+LONGEST_DECLARED = 40
+
+
+def declared_license(path: str, text: str) -> str | None:
+    """The licence that a pyproject.toml or package.json declares, as a string or the text of a table; null if none, or too long for a name."""
+    try:
+        found = _toml(text).get("project", {}).get("license") if path == "pyproject.toml" else json.loads(text).get("license")
+    except (ValueError, AttributeError):
+        return None
+    value = (found if isinstance(found, str) else str(found.get("text", "")) if isinstance(found, dict) else "").strip()
+    return value if value and len(value) <= LONGEST_DECLARED else None
+
+
 def licenses(files: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, license, file: what the first of the usual licence files at the top says. files: keys, file_path, source."""
-    rank = F.array_position(F.array(*map(F.lit, LICENSE_FILES)), F.col("file_path"))
-    own = files.where(F.col("file_path").isin(*LICENSE_FILES)).select(*keys, "file_path", rank.alias("r"), license_of_text(F.decode("source", "UTF-8")).alias("license"))
-    return own.groupBy(*keys).agg(F.min_by(F.struct("license", F.col("file_path").alias("file")), "r").alias("x")).select(*keys, "x.license", "x.file")
+    """keys, license, file: what the first of the usual licence files at the top says, without one what a manifest at the top declares. files: keys, file_path, source.
+
+    A licence file with unknown words gives a null licence, and manifests are not asked then.
+    """
+    rank = F.array_position(F.array(*map(F.lit, [*LICENSE_FILES, *DECLARING])), F.col("file_path"))
+
+    @F.pandas_udf("string")
+    def declared(path: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([declared_license(p, t or "") for p, t in zip(path, text)], dtype=object)
+
+    own = files.where(F.col("file_path").isin(*LICENSE_FILES, *DECLARING)).select(*keys, "file_path", rank.alias("r"), F.decode("source", "UTF-8").alias("t"))
+    texts = own.where(F.col("file_path").isin(*LICENSE_FILES)).select(*keys, "file_path", "r", license_of_text(F.col("t")).alias("license"))
+    manifests_ = own.where(F.col("file_path").isin(*DECLARING)).select(*keys, "file_path", "r", declared("file_path", "t").alias("license")).where("license IS NOT NULL")
+    return texts.unionByName(manifests_).groupBy(*keys).agg(F.min_by(F.struct("license", F.col("file_path").alias("file")), "r").alias("x")).select(*keys, "x.license", "x.file")
 
 
 def readme_header(name, license_, language, files):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import os
 import re
 import time
 import urllib.error
@@ -63,9 +64,11 @@ class Http:
     embedding_model: str | None = None
     timeout: float = 120.0
 
+    def _head(self) -> dict:
+        return {"Authorization": f"Bearer {self.api_key}"} if self.api_key else {}
+
     def _post(self, path: str, body: dict) -> dict:
-        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.api_key}"} if self.api_key else {})
-        request = urllib.request.Request(self.base_url.rstrip("/") + path, json.dumps(body).encode(), head)
+        request = urllib.request.Request(self.base_url.rstrip("/") + path, json.dumps(body).encode(), {"Content-Type": "application/json"} | self._head())
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as r:
                 return json.load(r)
@@ -90,8 +93,107 @@ class Http:
             return {"ok": False, "model": self.model, "detail": str(e)}
 
 
+@dataclass(frozen=True)
+class Messages(Http):
+    """An endpoint of the messages protocol: the key in a header of its own, the answer in blocks of text. It embeds nothing."""
+
+    version: str = "2023-06-01"
+    embeds: bool = False
+
+    def _head(self) -> dict:
+        return {"anthropic-version": self.version} | ({"x-api-key": self.api_key} if self.api_key else {})
+
+    def generate(self, prompt: str, max_tokens: int = 450) -> str:
+        got = self._post("/v1/messages", {"model": self.model, "max_tokens": max_tokens, "messages": [{"role": "user", "content": prompt}]})
+        return "".join(x.get("text", "") for x in got["content"])
+
+
+@dataclass(frozen=True)
+class Contents(Http):
+    """An endpoint of the contents protocol: the model is part of the address, the answer in parts of a candidate."""
+
+    def _head(self) -> dict:
+        return {"x-goog-api-key": self.api_key} if self.api_key else {}
+
+    def generate(self, prompt: str, max_tokens: int = 450) -> str:
+        got = self._post(f"/v1beta/models/{self.model}:generateContent", {"contents": [{"parts": [{"text": prompt}]}], "generationConfig": {"maxOutputTokens": max_tokens}})
+        return "".join(x.get("text", "") for x in got["candidates"][0]["content"]["parts"])
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        name = f"models/{self.embedding_model or self.model}"
+        got = self._post(f"/v1beta/{name}:batchEmbedContents", {"requests": [{"model": name, "content": {"parts": [{"text": t}]}} for t in texts]})
+        return [x["values"] for x in got["embeddings"]]
+
+
+@dataclass(frozen=True)
+class Local(Http):
+    """A server of local models: answers whole, without a key."""
+
+    def generate(self, prompt: str, max_tokens: int = 450) -> str:
+        return self._post("/api/chat", {"model": self.model, "stream": False, "options": {"num_predict": max_tokens}, "messages": [{"role": "user", "content": prompt}]})["message"]["content"]
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return self._post("/api/embed", {"model": self.embedding_model or self.model, "input": texts})["embeddings"]
+
+
 #: Provider by name -> maker; others can be added.
-PROVIDERS: dict[str, Callable] = {"offline": Offline, "http": Http}
+PROVIDERS: dict[str, Callable] = {"offline": Offline, "http": Http, "messages": Messages, "contents": Contents, "local": Local}
+
+# Services by name: protocol, endpoint, environment variable of the key, whether it needs a key, whether it embeds.
+SERVICES = {
+    "ollama": ("local", "http://localhost:11434", None, False, True),
+    "openai": ("http", "https://api.openai.com/v1", "OPENAI_API_KEY", True, True),
+    "anthropic": ("messages", "https://api.anthropic.com", "ANTHROPIC_API_KEY", True, False),
+    "gemini": ("contents", "https://generativelanguage.googleapis.com", "GEMINI_API_KEY", True, True),
+    "groq": ("http", "https://api.groq.com/openai/v1", "GROQ_API_KEY", True, False),
+    "openrouter": ("http", "https://openrouter.ai/api/v1", "OPENROUTER_API_KEY", True, False),
+    "lmstudio": ("http", "http://localhost:1234/v1", None, False, True),
+    "custom": ("http", None, None, False, True),
+}
+
+
+def resolve(service: str = "offline", model: str | None = None, api_key: str | None = None, endpoint: str | None = None, embedding_model: str | None = None, env: dict[str, str] | None = None):
+    """The provider of a service: what is given counts before the environment, that before the defaults. A missing key or endpoint raises before any row is read."""
+    if service in PROVIDERS and service not in SERVICES:
+        return PROVIDERS[service]() if service == "offline" else PROVIDERS[service](endpoint or "", model or "", api_key)
+    if service not in SERVICES:
+        raise ProviderError(f"unknown provider {service}")
+    protocol, default, variable, needs_key, _ = SERVICES[service]
+    env = os.environ if env is None else env
+    key, address = api_key or (env.get(variable) if variable else None), endpoint or default
+    if needs_key and not key:
+        raise ProviderError(f"{service} needs a key, such as in {variable}")
+    if not address:
+        raise ProviderError(f"{service} needs an endpoint")
+    return PROVIDERS[protocol](address, model or "", key, embedding_model)
+
+
+def resolve_synthesis(env: dict[str, str] | None = None, **given):
+    """The provider of the few calls about a whole repository: that of SYNTHESIS_PROVIDER and SYNTHESIS_MODEL if they are set, else the one given."""
+    env = os.environ if env is None else env
+    return resolve(env.get("SYNTHESIS_PROVIDER") or given.pop("service", "offline"), env.get("SYNTHESIS_MODEL") or given.pop("model", None), env=env, **{k: v for k, v in given.items() if k not in ("service", "model")})
+
+
+def can_embed(provider) -> bool:
+    return bool(getattr(provider, "embeds", True)) and hasattr(provider, "embed")
+
+
+# Memory in GB from which a machine belongs to a tier.
+TIERS = [("minimal", 0), ("standard", 8), ("high", 16), ("workstation", 32)]
+
+
+def tier(ram_gb: float | None, vram_gb: float | None = None) -> str:
+    """The highest tier that the larger of both memories reaches; unknown ones count nothing."""
+    most = max((x for x in (ram_gb, vram_gb) if x is not None), default=0)
+    return [name for name, least in TIERS if most >= least][-1]
+
+
+def memory_gb() -> float | None:
+    """The memory of this machine; null where the system does not tell."""
+    try:
+        return os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2**30
+    except (ValueError, OSError, AttributeError):
+        return None
 
 
 def retried(call: Callable, tries: int = 3, first: float = 1.0, most: float = 20.0, sleep: Callable = time.sleep):
@@ -127,7 +229,9 @@ def generate(rows: DataFrame, prompt: str, provider, max_tokens: int = 450, at_o
 
 
 def embed(rows: DataFrame, text: str, provider, batch: int = 32, wait: float = 1.0) -> DataFrame:
-    """The rows with vector, dimensions, model and error; a failed or short answer marks every row of its batch, other batches go on."""
+    """The rows with vector, dimensions, model and error; a failed or short answer marks every row of its batch, other batches go on. A provider that cannot embed raises at once."""
+    if not can_embed(provider):
+        raise ProviderError(f"{provider.model} cannot embed")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -164,7 +164,8 @@ def top_files_by_symbols(spark, d):
     return n.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: {'n': 0::BIGINT, 'used': octet_length(encode(x)) + 1}) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, list_reduce(list_concat([{'n': 0::BIGINT, 'used': 0::BIGINT}], l), lambda a, x: CASE WHEN a.n > 0 AND a.used + x.used <= 1500 THEN {'n': a.n, 'used': a.used + x.used} ELSE {'n': a.n + 1, 'used': x.used} END).n AS packs FROM s""")
 def greedy_packs(spark, d):
     """Into how many packs of 1,500 bytes the lines of each document go, greedily."""
     lines = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
@@ -232,13 +233,22 @@ def manifests(spark, d):
     return documentation.manifests(_files(spark, d), ["repo_id"])
 
 
-@query()
+@query(r"""WITH f AS (SELECT repo_id, file_path, trim(regexp_replace(summary, '[ \t\n\r\f\v]*\n[ \t\n\r\f\v]*', ' ', 'g')) AS t FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, file_path ORDER BY updated_at DESC NULLS LAST, summary DESC NULLS LAST) AS r FROM file_docs) WHERE r = 1),
+ s AS (SELECT repo_id, file_path, regexp_replace(file_path, '/?[^/]*$', '') AS d, regexp_extract(file_path, '([^/]*)$', 1) AS b, CASE WHEN t = '' THEN '' WHEN regexp_extract(t, '^(.*?[.!?])(?: |$)', 1) <> '' THEN regexp_extract(t, '^(.*?[.!?])(?: |$)', 1) ELSE t || '.' END AS p FROM f),
+ g AS (SELECT repo_id, d, string_agg('| `' || b || '` | ' || coalesce(nullif(replace(p, '|', '\|'), ''), '(not documented)') || ' |', chr(10) ORDER BY file_path) AS rows FROM s GROUP BY 1, 2)
+SELECT repo_id, '# Project structure' || chr(10) || chr(10) || string_agg(CASE WHEN d = '' THEN '### Repository root' ELSE '### `' || d || '`' END || chr(10) || chr(10) || '| File | Purpose |' || chr(10) || '|---|---|' || chr(10) || rows, chr(10) || chr(10) ORDER BY d) || chr(10) AS text FROM g GROUP BY 1""")
 def structure_documents(spark, d):
     f = table(spark, d, "file_docs")
     return documentation.structure_document(changes.latest(f.select("repo_id", "file_path", "summary", "updated_at"), ["repo_id", "file_path"], "updated_at", "summary"), ["repo_id"])
 
 
-@query()
+_ENDINGS = ", ".join(f"'{e}'" for e in review.PATH_ENDINGS)
+
+
+@query(rf"""WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), t AS (SELECT doc_id, string_split(regexp_replace(line, '``+', chr(1), 'g'), '`') AS p FROM d), s AS (SELECT doc_id, unnest(list_filter(p, lambda x, i: i % 2 = 0 AND i < len(p))) AS ref FROM t),
+ r AS (SELECT DISTINCT doc_id AS name, regexp_replace(ref, '^\./', '') AS ref FROM s WHERE ref <> '' AND NOT regexp_matches(ref, '[ \t\r\f\v()<>{{}}*]|://') AND (lower(regexp_extract(ref, '\.([A-Za-z0-9]+)$', 1)) IN ({_ENDINGS}) OR ref LIKE '%/')),
+ f AS (SELECT DISTINCT string_split(file_path, '/') AS p FROM sources WHERE file_path IS NOT NULL), k AS (SELECT p[-1] AS ref FROM f UNION SELECT unnest(list_transform(range(1, len(p) + 1), lambda i: array_to_string(p[1:i], '/') || CASE WHEN i < len(p) THEN '/' ELSE '' END)) FROM f)
+SELECT name, ref FROM r ANTI JOIN k USING (ref)""")
 def missing_references(spark, d):
     """Code spans of documents that look like paths but are no file of any source."""
     docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("name"), "text")
@@ -342,11 +352,9 @@ def adjacency_sizes(spark, d):
     return graph.fan_out(_supply(spark, d), [])
 
 
-@query("SELECT 's' || l_suppkey AS source, list_transform(list_sort(list(DISTINCT l_partkey)), lambda x: x) AS parts FROM lineitem WHERE l_suppkey % 100 = 0 GROUP BY 1")
+@query("SELECT 's' || l_suppkey AS source, string_agg(DISTINCT 'p' || l_partkey, '|' ORDER BY 'p' || l_partkey) AS parts FROM lineitem GROUP BY 1")
 def adjacency_lists(spark, d):
-    """The sorted lists of distinct targets of the sources whose number is divisible by 100."""
-    own = graph.adjacency(_supply(spark, d).where("CAST(substring(source, 2) AS BIGINT) % 100 = 0"), [])
-    return own.select("source", F.array_sort(F.transform("targets", lambda t: F.substring(t, F.lit(2), F.length(t)).cast("bigint"))).alias("parts"))
+    return graph.adjacency(_supply(spark, d), []).select("source", F.array_join("targets", "|").alias("parts"))
 
 
 @query("SELECT DISTINCT 'p' || l_partkey AS file, 'depends on' AS direction FROM lineitem WHERE l_suppkey = 1")

@@ -5,13 +5,14 @@ Each goes through the operator as it is and has its rows, worked out by hand fro
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
 from pyspark.sql import functions as F
 
 from sparkloom.functions import paths, text
-from sparkloom.operators import changes, documentation, graph, imports, providers, review, vectors
+from sparkloom.operators import changes, documentation, graph, imports, providers, review, vectors, writing
 from sparkloom.operators import chunks as chunk_ops
 from sparkloom.plans.catalog import QUERIES, SQL
 from sparkloom.session import cut_lineage, shared_dir
@@ -534,3 +535,117 @@ def example_embed(spark, d):
 @example("tokens BIGINT", [(6,)])
 def example_tokens_used(spark, d):
     return providers.tokens_used(spark.createDataFrame([(1, 2), (3, None), (None, None)], "prompt_tokens int, completion_tokens int"))
+
+
+# ---------------------------------------------------------------- writing
+class _Scripted:
+    """A model that follows a script: a draft with an empty phrase, one objection to the second version, then nothing."""
+
+    model = "scripted"
+
+    def generate(self, prompt: str, max_tokens: int = 1) -> str:
+        if prompt.startswith("Write"):
+            if "broken" in prompt:
+                raise providers.ProviderError("no")
+            return "It works seamlessly." if "tool" in prompt else "Plain."
+        if prompt.startswith("Check"):
+            return "STATUS: ISSUES\n- too short" if "Second." in prompt else "STATUS: PASS"
+        return "Third, longer." if "too short" in prompt else "Second."
+
+
+@example("name VARCHAR, text VARCHAR, rounds BIGINT, issues VARCHAR, error VARCHAR", [("a", "Third, longer.", 2, "", None), ("b", "Plain.", 0, "", None), ("c", "", 0, "", "ProviderError: no")])
+def example_written(spark, d):
+    """A draft is revised for an empty phrase, then for the model's objection; another passes at once; a failed one does not stop them."""
+    facts = spark.createDataFrame([("a", "a tool"), ("b", "nothing"), ("c", "broken")], "name string, facts string")
+    w = writing.written(facts, spark.createDataFrame([("x.py",)], "file_path string"), _Scripted())
+    return w.select("name", "text", F.col("rounds").cast("bigint").alias("rounds"), F.array_join("issues", "|").alias("issues"), "error")
+
+
+@example("name VARCHAR, issues VARCHAR, rounds BIGINT", [("a", "too short", 1)])
+def example_written_in_one_round(spark, d):
+    """What is objected to after the last round stays."""
+    w = writing.written(spark.createDataFrame([("a", "a tool")], "name string, facts string"), spark.createDataFrame([("x.py",)], "file_path string"), _Scripted(), rounds=1)
+    return w.select("name", F.array_join("issues", "|").alias("issues"), F.col("rounds").cast("bigint").alias("rounds"))
+
+
+@example("prompt VARCHAR", [("Code of x in python:  end",)])
+def example_prompt(spark, d):
+    """Names without a value, and nulls, render as nothing."""
+    return spark.range(1).select(writing.rendered("Code of {name} in {language}: {code}{other} end", {"name": F.lit("x"), "language": F.lit("python"), "code": F.lit(None)}).alias("prompt"))
+
+
+@example("name VARCHAR, text VARCHAR", [("API", "a2"), ("README", "r"), ("ARCHITECTURE", "x")])
+def example_merged_documents(spark, d):
+    """Branches that ran beside each other lose no document; of one that both have the later counts."""
+    s = "name string, text string"
+    return writing.merged_documents([spark.createDataFrame([("API", "a1"), ("README", "r")], s), spark.createDataFrame([("API", "a2"), ("ARCHITECTURE", "x")], s)])
+
+
+@example("n BIGINT, names VARCHAR", [(1, "f|_C"), (2, "f|g|P|I|T"), (3, "S|low"), (4, "S|Tr"), (5, "foo|A"), (7, "K")])
+def example_top_symbols(spark, d):
+    t = writing.top_symbols(symbol_rows(parse(_sources(spark), ["n", "file_path"]), ["n", "file_path"]), ["n"])
+    return t.select(F.col("n").cast("bigint").alias("n"), F.array_join("names", "|").alias("names"))
+
+
+@example("text VARCHAR", [("# T\n## 🔍 Overview of data\n### Sub\n## 🧩 Modules\n## 📄 Other\ntext ## x",)])
+def example_heading_marks(spark, d):
+    """The first word of the list that a heading contains decides."""
+    return spark.createDataFrame([("# T\n## Overview of data\n### Sub\n## Modules\n## Other\ntext ## x",)], "t string").select(writing.marked_headings(F.col("t")).alias("text"))
+
+
+@example("repo BIGINT, license VARCHAR, file VARCHAR", [(1, "MIT OR ISC", "pyproject.toml"), (2, "BSD", "package.json"), (3, None, "LICENSE"), (4, "X", "pyproject.toml")])
+def example_declared_licenses(spark, d):
+    """A manifest counts where there is no licence file, and only if what it declares is short enough for a name; a licence file of unknown words stops the search."""
+    f = [(1, "pyproject.toml", '[project]\nlicense = "MIT OR ISC"\n'), (1, "package.json", '{"license": "Y"}'), (2, "pyproject.toml", "[project]\nlicense = {file = 'L'}\n"), (2, "package.json", '{"license": " BSD "}'), (3, "LICENSE", "all rights reserved"), (3, "package.json", '{"license": "MIT"}'), (4, "pyproject.toml", "[project]\nlicense = {text = 'X'}\n"), (5, "package.json", '{"license": "' + "long " * 20 + '"}'), (6, "package.json", "{")]
+    s = spark.createDataFrame([(r, p, bytearray(t.encode())) for r, p, t in f], "repo long, file_path string, source binary")
+    return documentation.licenses(s, ["repo"])
+
+
+@example("service VARCHAR, protocol VARCHAR, address VARCHAR, embeds BOOLEAN, error VARCHAR", [("ollama", "Local", "http://localhost:11434", True, None), ("openai", "Http", "https://api.openai.com/v1", True, None), ("anthropic", "Messages", "https://api.anthropic.com", False, None), ("gemini", "Contents", "https://generativelanguage.googleapis.com", True, None), ("groq", None, None, None, "groq needs a key, such as in GROQ_API_KEY"), ("custom", None, None, None, "custom needs an endpoint"), ("nobody", None, None, None, "unknown provider nobody"), ("offline", "Offline", None, True, None)])
+def example_services(spark, d):
+    """Services by name with keys from the environment; what is missing raises before any row is read."""
+    rows, env = [], {"OPENAI_API_KEY": "k", "ANTHROPIC_API_KEY": "k", "GEMINI_API_KEY": "k"}
+    for name in ("ollama", "openai", "anthropic", "gemini", "groq", "custom", "nobody", "offline"):
+        try:
+            p = providers.resolve(name, "m", env=env)
+            rows.append((name, type(p).__name__, getattr(p, "base_url", None), providers.can_embed(p), None))
+        except providers.ProviderError as e:
+            rows.append((name, None, None, None, str(e)))
+    return spark.createDataFrame(rows, "service string, protocol string, address string, embeds boolean, error string")
+
+
+@example("protocol VARCHAR, path VARCHAR, answer VARCHAR, vectors BIGINT", [("Http", "/chat/completions", "hi", 2), ("Messages", "/v1/messages", "hi", None), ("Contents", "/v1beta/models/m:generateContent", "hi", 2), ("Local", "/api/chat", "hi", 2)])
+def example_protocols(spark, d):
+    """What each protocol asks for and how it reads the answer, against canned answers."""
+    answers = {
+        "/chat/completions": {"choices": [{"message": {"content": "hi"}}]}, "/v1/messages": {"content": [{"type": "text", "text": "h"}, {"type": "text", "text": "i"}]}, "/v1beta/models/m:generateContent": {"candidates": [{"content": {"parts": [{"text": "hi"}]}}]}, "/api/chat": {"message": {"content": "hi"}},
+        "/embeddings": {"data": [{"embedding": [1.0]}, {"embedding": [2.0]}]}, "/v1beta/models/e:batchEmbedContents": {"embeddings": [{"values": [1.0]}, {"values": [2.0]}]}, "/api/embed": {"embeddings": [[1.0], [2.0]]},
+    }
+    rows = []
+    for kind in (providers.Http, providers.Messages, providers.Contents, providers.Local):
+        asked: list[str] = []
+        canned = type(kind.__name__, (kind,), {"_post": lambda self, path, body, asked=asked: asked.append(path) or answers[path]})
+        p = canned("http://x", "m", "k", "e")
+        answer = p.generate("p", 5)
+        rows.append((kind.__name__, asked[0], answer, len(p.embed(["a", "b"])) if providers.can_embed(p) else None))
+    return spark.createDataFrame(rows, "protocol string, path string, answer string, vectors long")
+
+
+@example("ram DOUBLE, vram DOUBLE, tier VARCHAR", [(None, None, "minimal"), (7.9, None, "minimal"), (8.0, None, "standard"), (4.0, 16.0, "high"), (64.0, 8.0, "workstation")])
+def example_tiers(spark, d):
+    r = [(None, None), (7.9, None), (8.0, None), (4.0, 16.0), (64.0, 8.0)]
+    return spark.createDataFrame([(a, b, providers.tier(a, b)) for a, b in r], "ram double, vram double, tier string")
+
+
+@example("key VARCHAR", [("repository_path",), ("repo_summary",), ("generated_docs.README",), ("review.0.issues",), ("statistics.files_total",), ("statistics.tokens_used",)])
+def example_structured_export(spark, d):
+    """Where the parts of a JSON export are."""
+    j = json.loads(json.dumps(exporting.structured("/r", "s", {"README": "x"}, [{"name": "README", "passed": False, "issues": ["y"], "error": None}], {"files_total": 3})))
+    there = []
+    for key in ("repository_path", "repo_summary", "generated_docs.README", "review.0.issues", "statistics.files_total", "statistics.tokens_used", "statistics.other"):
+        at = j
+        for k in key.split("."):
+            at = at[int(k)] if isinstance(at, list) else at.get(k, KeyError)
+        if at is not KeyError:
+            there.append((key,))
+    return spark.createDataFrame(there, "key string")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import action, content_hash, go_module, truncate
-from sparkloom.operators import changes, chunks, documentation, graph, imports, providers, review, vectors
+from sparkloom.operators import changes, chunks, documentation, graph, imports, providers, review, vectors, writing
 from sparkloom.session import cut_lineage
 from sparkloom.sources import export as exporting
 from sparkloom.sources.parsers import imports as import_rows
@@ -39,6 +39,8 @@ class Documented:
     vectors: DataFrame
     documents: dict[str, str]
     reviews: DataFrame
+    root: str = ""
+    summary: str | None = None
 
 
 def structure(files: DataFrame, keys: list[str], limit: int = 1500, errors: list[str] | None = None, counts: DataFrame | None = None) -> Scan:
@@ -76,7 +78,7 @@ def document(spark: SparkSession, root: str, provider=None, memo: changes.Memo |
     """Summaries, vectors, documents and reviews of a source tree. With a memo, chunks of files that did not change keep their summaries."""
     provider = provider or providers.Offline()
     s = scan(spark, root, memo)
-    prompts = s.chunks.withColumn("prompt", F.concat(F.lit("Summarise this code.\n\n"), truncate(F.col("content"), 8000))).withColumn("content_hash", content_hash(F.col("content"))).withColumn("relative_path", F.col("id")).withColumn("repository_path", F.lit(root)).withColumn("record_type", F.lit("chunk_doc"))
+    prompts = s.chunks.withColumn("prompt", writing.rendered(writing.PROMPTS["chunk"], {"language": F.col("language"), "code": truncate(F.col("content"), 8000)})).withColumn("content_hash", content_hash(F.col("content"))).withColumn("relative_path", F.col("id")).withColumn("repository_path", F.lit(root)).withColumn("record_type", F.lit("chunk_doc"))
     columns = ["id", "file_path", "symbol_names", "prompt", "content_hash"]
     if memo is not None:
         hits, misses = changes.split_by_memo(prompts, memo.read().where("record_type = 'chunk_doc'"), changes.KEY)
@@ -88,30 +90,45 @@ def document(spark: SparkSession, root: str, provider=None, memo: changes.Memo |
         done = cut_lineage(providers.generate(prompts.select(*columns), "prompt", provider))
     chunk_docs = done.select(F.col("id").alias("chunk_id"), "file_path", "summary", "model", "symbol_names", "error")
     parts = documentation.file_parts(chunk_docs, s.chunks, [])
-    asked = parts.withColumn("prompt", F.concat(F.lit("Summarise this file from its parts.\n\n"), truncate(F.array_join("summaries", "\n"), 8000)))
+    asked = parts.withColumn("prompt", writing.rendered(writing.PROMPTS["file"], {"parts": truncate(F.array_join("summaries", "\n"), 8000)}))
     told = providers.generate(asked.select("file_path", "chunk_count", "failed", "prompt"), "prompt", provider, 650)
     nothing = F.when(F.col("failed") == F.col("chunk_count"), F.lit("every chunk in this file failed"))
     file_docs = cut_lineage(told.join(s.parsed.select("file_path", "language"), "file_path").withColumn("error", F.coalesce(nothing, "error")))
     items = vectors.embeddable(chunk_docs, file_docs)
     embedded = cut_lineage(providers.embed(items, "text", provider))
-    documents = _documents(spark, root, s, file_docs)
+    documents, summary = _documents(spark, root, s, file_docs, provider)
     table = spark.createDataFrame(list(documents.items()), "name string, text string")
     found = review.findings(table, s.files.select("file_path"))
-    empty = table.select("name", F.lit(True).alias("passed"), F.array().cast("array<string>").alias("issues"), F.lit(None).cast("string").alias("error"))
-    return Documented(s, chunk_docs, file_docs, embedded, documents, review.merge_reviews(empty, found))
+    passed, issues = review.review_of(F.coalesce("summary", F.lit("")))
+    told = providers.generate(table.withColumn("prompt", writing.rendered(writing.PROMPTS["review"], {"document": F.col("text")})), "prompt", provider, 1000)
+    own = cut_lineage(told.select("name", passed.alias("passed"), F.when(passed, F.array().cast("array<string>")).otherwise(issues).alias("issues"), "error"))
+    return Documented(s, chunk_docs, file_docs, embedded, documents, review.merge_reviews(own, found), root, summary)
 
 
-def _documents(spark: SparkSession, root: str, s: Scan, file_docs: DataFrame) -> dict[str, str]:
-    """The documents of one repository, a handful of texts."""
+def _told(spark: SparkSession, provider, prompt: str, values: dict[str, str], most: int) -> str:
+    """The answer to one prompt about the whole repository, empty if the call fails."""
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)).select(writing.rendered(writing.PROMPTS[prompt], {k: F.col(k) for k in values}).alias("prompt"))
+    return providers.generate(row, "prompt", provider, most).first()["summary"] or ""
+
+
+def _documents(spark: SparkSession, root: str, s: Scan, file_docs: DataFrame, provider) -> tuple[dict[str, str], str]:
+    """(the documents of one repository, a handful of texts; what it is for)."""
     text = lambda df, c="text": (lambda r: (r[c] if r else None) or "")(df.first())
     digest = documentation.repository_digest(file_docs, s.edges, []).first()
     arch = documentation.architecture(file_docs, s.edges).first()
     languages = documentation.language_breakdown(s.files, []).first()
     name = root.rstrip("/").rsplit("/", 1)[-1]
+    files, links = (digest["file_digest"], digest["imports"]) if digest else ("", "")
+    summary = _told(spark, provider, "repository", {"files": files, "imports": links}, 600) if files else ""
+    facts = f"{name}: {languages['files'] if languages else 0} files ({languages['breakdown'] if languages else ''}).\n{summary}\n{files}"
+    draft = writing.written(spark.createDataFrame([("README", facts)], "name string, facts string"), s.files.select("file_path"), provider).first()
+    said = f"{draft['text']}\n\n" if draft and not draft["error"] and draft["text"] else ""
+    endpoints = text(documentation.endpoint_digest(s.symbols, []), "digest")
+    structure_ = _told(spark, provider, "architecture", {"files": arch["file_digest"] or "", "diagram": arch["diagram"]}, 500) if arch["file_digest"] else ""
     out = {
-        "README": f"# {name}\n\n## Overview\n\n{languages['files'] if languages else 0} files ({languages['breakdown'] if languages else ''}).\n\n## Files\n\n{digest['file_digest'] if digest else ''}\n",
-        "ARCHITECTURE": f"# Architecture\n\n{arch['file_digest'] or ''}\n\n```mermaid\n{arch['diagram']}\n```\n",
-        "API": "# API\n\n" + (text(documentation.endpoint_digest(s.symbols, []), "digest") or "No endpoints.") + "\n",
+        "README": f"# {name}\n\n## Overview\n\n{languages['files'] if languages else 0} files ({languages['breakdown'] if languages else ''}).\n\n{said}## Files\n\n{files}\n",
+        "ARCHITECTURE": f"# Architecture\n\n{structure_}\n\n{arch['file_digest'] or ''}\n\n```mermaid\n{arch['diagram']}\n```\n",
+        "API": "# API\n\n" + (f"{_told(spark, provider, 'api', {'endpoints': endpoints}, 800)}\n\n{endpoints}" if endpoints else "No endpoints.") + "\n",
         "STRUCTURE": text(documentation.structure_document(file_docs, [])),
         "DEPENDENCIES": text(documentation.dependencies_document(documentation.manifests(s.files, []), [])),
     }
@@ -120,8 +137,9 @@ def _documents(spark: SparkSession, root: str, s: Scan, file_docs: DataFrame) ->
         out["CHANGELOG"] = text(documentation.changelog_document(history))
     own = documentation.licenses(s.files, []).first()
     head = spark.range(1).select(documentation.readme_header(F.lit(name), F.lit(own["license"] if own else None).cast("string"), F.lit(languages["primary"] if languages else None).cast("string"), F.lit(languages["files"] if languages else 0)).alias("t"))
-    out["GITHUB_README"] = text(head, "t") + "\n" + out["README"].split("\n", 1)[1]
-    return {k: v for k, v in out.items() if v.strip()}
+    body = spark.createDataFrame([(out["README"].split("\n", 1)[1],)], "t string").select(writing.marked_headings(F.col("t")).alias("t"))
+    out["GITHUB_README"] = text(head, "t") + "\n" + text(body, "t")
+    return {k: v for k, v in out.items() if v.strip()}, summary
 
 
 def export(result: Documented, formats: list[str], folder: str) -> list[str]:
@@ -130,7 +148,11 @@ def export(result: Documented, formats: list[str], folder: str) -> list[str]:
     table = spark.createDataFrame(list(result.documents.items()), "name string, text string")
     ordered = {r["name"]: r["text"] for r in documentation.export_set(table).orderBy("place", "name").collect()}  # at most eight documents
     reviews = [r.asDict() for r in result.reviews.collect()]
-    return exporting.export(ordered, formats, folder, reviews=reviews)
+    counted = result.scan.counts.agg(F.sum("count")).first()[0] if result.scan.counts is not None else None
+    vectors_ = result.vectors.where("error IS NULL").count()
+    statistics = {"files_total": counted, "files_changed": changes.changed(result.scan.changes).count() if result.scan.changes is not None else None, "chunks_documented": result.chunk_docs.where("error IS NULL").count(), "embeddings_generated": vectors_, "vectors_persisted": None, "tokens_used": None}
+    more = exporting.structured(result.root, result.summary, ordered, reviews, statistics)
+    return exporting.export(ordered, formats, folder, **{k: v for k, v in more.items() if k != "generated_docs"})
 
 
 # Tools of an agent: name -> (result, argument) -> text.
@@ -141,12 +163,15 @@ def _tool_search(r: Documented, arg: str, provider) -> str:
 
 def _tool_file(r: Documented, arg: str, provider) -> str:
     row = r.scan.files.where(F.col("file_path") == arg).select(truncate(F.decode("source", "UTF-8"), 6000).alias("t")).first()
-    return row["t"] if row else f"No file {arg}."
+    if row:
+        return row["t"]
+    told = r.file_docs.where((F.col("file_path") == arg) & (F.col("summary") != "")).select("summary").first()  # without the file, what was said of it
+    return told["summary"] if told else f"No file {arg}."
 
 
 def _tool_symbol(r: Documented, arg: str, provider) -> str:
-    rows = graph.find_symbols(r.scan.nodes, arg).collect()
-    return "\n".join(f"- {x['id']} ({x['symbol_kind']}): {x['summary'] or ''}" for x in rows) or f"No symbol {arg}."
+    rows = graph.member_of(graph.find_symbols(r.scan.nodes, arg), r.scan.links).orderBy("id").collect()  # at most ten
+    return "\n".join(f"- {x['id']} ({x['symbol_kind']}{', member of ' + x['parent'] if x['parent'] else ''}): {x['summary'] or ''}" for x in rows) or f"No symbol {arg}."
 
 
 def _tool_dependencies(r: Documented, arg: str, provider) -> str:

@@ -123,7 +123,7 @@ def to_pdf(markdown: str) -> bytes:
                 w = _wrapped(plain(x), 85)
                 lines += [("F1", 11, f"{'-' if kind == 'ul' else f'{n}.'} {w[0] if w else ''}")] + [("F1", 11, "   " + y) for y in w[1:]]
         elif kind == "table":
-            lines += [("F3", 9, "  ".join(plain(c) for c in r)[:95]) for r in content]
+            lines += [("F3", 9, y) for r in content for x in ["  ".join(plain(c) for c in r)] for y in ([x[i : i + 95] for i in range(0, len(x), 95)] or [""])]
         elif kind.startswith("h") and kind != "hr":
             lines += [("F2", {"h1": 20, "h2": 16, "h3": 13}.get(kind, 12), x) for x in _wrapped(plain(content), 55)]
         elif kind == "p":
@@ -154,8 +154,18 @@ def to_pdf(markdown: str) -> bytes:
     return bytes(out)
 
 
+#: What is told of a run, null where it is not known.
+STATISTICS = ["files_total", "files_changed", "chunks_documented", "embeddings_generated", "vectors_persisted", "tokens_used", "duration_seconds"]
+
+
+def structured(path: str, summary: str | None, documents: dict[str, str], reviews: list[dict], statistics: dict) -> dict:
+    """All that is known of a documented repository."""
+    review = [{"doc_name": r["name"], "passed": r["passed"], "issues": list(r["issues"] or []), "error": r["error"]} for r in reviews]
+    return {"repository_path": path, "repo_summary": summary, "generated_docs": dict(documents), "review": review, "statistics": {s: statistics.get(s) for s in STATISTICS}}
+
+
 def to_json(documents: dict[str, str], **more) -> str:
-    return json.dumps({"documents": documents} | more, indent=2, ensure_ascii=False, default=str)
+    return json.dumps({"generated_docs": documents} | more, indent=2, ensure_ascii=False, default=str)
 
 
 #: Format -> (ending, text -> content); others can be added.
