@@ -43,8 +43,9 @@ AT_ONCE = 400_000
 
 _TOKEN = re.compile(r"[\u2e80-\U0010ffff]|[^\W\d_\u2e80-\U0010ffff]+(?:['’][^\W\d_\u2e80-\U0010ffff]+)*|\d+|[^\w\s]|_|\n+")
 _MARK = re.compile(r"\s*(?:…|\.\.\.)?\s*(?:[\[(<{]\s*(?:truncated|cut(?: off)?|more|continued|cont\.?|snip(?:ped)?|shortened|abgeschnitten|gekürzt|tronqué|cortado|…|\.\.\.)[^\])>}\n]{0,20}[\])>}])?\s*$")
+#: Each mark ends with one of these.
+_MARK_ENDS = ("…", "...", "]", ")", ">", "}")
 _FENCE = re.compile(r"(?m)^[ \t]*```")
-_LAST_WORD = re.compile(r"[^\W\d_]+$")
 #: Tokens as numbers: words are below OTHER (30 bits of a checksum of their lower case, so among a billion words few share one), then numbers, line ends and single characters.
 OTHER = 1 << 30
 NUMBER, LINE = OTHER, OTHER + 1
@@ -81,14 +82,20 @@ def _clean(text: str) -> str:
 def _bare(whole: str) -> str:
     """The text without a mark of a cut or a broken character at its end."""
     whole = whole.rstrip("\ufffd")
+    if not whole.endswith(_MARK_ENDS):
+        return whole.rstrip()
     tail = whole[-160:]
     return (whole[: len(whole) - len(tail)] + _MARK.sub("", tail)).rstrip()
 
 
 def _last_word(text: str) -> int:
     """The length of the word at the very end, 0 if there is none; of long ones it does not matter how long."""
-    m = _LAST_WORD.search(text[-64:])
-    return len(m[0]) if m else 0
+    n = 0
+    for c in reversed(text[-64:]):
+        if not c.isalpha():
+            break
+        n += 1
+    return n
 
 
 _READ = "ids binary, marks int, marked boolean, broken boolean, fence boolean, raw string, bare string, word int, bare_word int, pair long, n long"
@@ -268,7 +275,7 @@ def ngrams(read: DataFrame, rows: DataFrame, words: tuple[np.ndarray, np.ndarray
                 low = h & np.uint64(size - 1)
                 on = (passed[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 own = kinds[on]
-                u, at = np.unique(h[on], return_inverse=True)
+                at, u = pd.factorize(h[on])  # hashed, not sorted
                 yield pd.DataFrame({"context": u.view(np.int64), "n": np.bincount(at, minlength=len(u)), "lines": np.bincount(at, own == 1, len(u)).astype(np.int64), "ends": np.bincount(at, own == 2, len(u)).astype(np.int64)})
 
         for t in texts:
