@@ -40,12 +40,21 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def encoding_of(ranks: dict[bytes, int]):
+    """The tokenizer of ranks. Strings of special tokens are ordinary text."""
+    import tiktoken
+
+    return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 @lru_cache(maxsize=4)
 def encoding(path: str):
-    """The tokenizer of a rank file, once in each worker. Strings of special tokens are ordinary text."""
-    import tiktoken
+    """The tokenizer of a rank file."""
+    return encoding_of(_ranks(path))
+
 
-    return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+#: The tokenizers of a worker by rank file.
+_encodings: dict = {}
 
 
 def pretokens(text: Column) -> Column:
@@ -74,10 +83,13 @@ def _places(kept: DataFrame) -> DataFrame:
 
 
 def dictionary(places: DataFrame, path: str) -> DataFrame:
-    """Each distinct pre-token (_word) with the number of its places (_n) and its ids (_ids)."""
+    """Each distinct pre-token (_word) with the number of its places (_n) and its ids (_ids). The rank file, of fixed size, is read on the driver alone."""
+    ranks = places.sparkSession.sparkContext.broadcast(_ranks(path))
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+        enc = _encodings.get(path)
+        if enc is None:
+            enc = _encodings[path] = encoding_of(ranks.value)
         for b in batches:
             # A pre-token is one piece of the pattern, so its ids do not depend on its neighbours.
             yield b.assign(_ids=[enc.encode_ordinary(w) for w in b["_word"]])
