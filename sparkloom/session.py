@@ -30,7 +30,8 @@ def local_session(cpus: str | int = "*", **extra: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where the setting is unset, as in tests on one machine, a folder of this process is made and set.
+    Only where the setting is unset and all executors are threads of this machine, as in tests, a folder of this process is made and set; on a cluster
+    without the setting this raises.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -38,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(named)
         return named
+    if not sc.getCheckpointDir() and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir("file://" + os.path.join(tempfile.mkdtemp(prefix="sparkloom-"), "checkpoints"))
     return sc.getCheckpointDir()
