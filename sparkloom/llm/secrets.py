@@ -245,8 +245,15 @@ def _model(found: DataFrame, trained: int) -> tuple[np.ndarray, np.ndarray, tupl
     model = np.log(counts / counts.sum(axis=1, keepdims=True)).ravel().astype("f4")
     rows = found.where("code IS NULL").select("kind", "ident", "value", "file_path").dropDuplicates(["kind", "ident", "value"])
     loose = F.col("kind").isin(*LOOSE)
-    ordered = lambda df: df.orderBy(F.xxhash64("kind", "ident", "value")).limit(trained)
-    sample = pd.concat([ordered(rows.where(~loose)).toPandas(), ordered(rows.where(loose)).toPandas()], ignore_index=True)
+    rows = cut_lineage(rows.withColumn("h", F.pmod(F.xxhash64("kind", "ident", "value"), F.lit(1 << 30))))
+
+    def least(df: DataFrame) -> pd.DataFrame:
+        """The candidates of least hash. What cannot be among them is left out first, so partitions send no more than about that many in all."""
+        n = df.count()
+        near = df.where(F.col("h") < F.lit(int((1 << 30) * (1.2 * trained + 1000) / max(1, n))))
+        return near.orderBy("h", "kind", "ident", "value").limit(trained).drop("h").toPandas()
+
+    sample = pd.concat([least(rows.where(~loose)), least(rows.where(loose))], ignore_index=True)
     sample["label"] = np.array([weak_label(k, i, v) for k, i, v in zip(sample["kind"], sample["ident"], sample["value"])], int)
     x = np.array([features(k, i, v, p, model) for k, i, v, p in zip(sample["kind"], sample["ident"], sample["value"], sample["file_path"])]).reshape(-1, len(FEATURES))
     y, held = sample["label"].to_numpy(), np.arange(len(sample)) % HELD_OUT == HELD_OUT - 1
