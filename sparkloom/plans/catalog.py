@@ -175,12 +175,14 @@ def greedy_packs(spark, d):
 # ---------------------------------------------------------------- structure of the sources
 def _files(spark, d):
     """Each file once: of rows that repeat its key the longest, of equally long ones the one of the larger hash. Only hashes are compared and grouped."""
-    s = table(spark, d, "sources").select("repo_id", "file_path", "source", F.octet_length("source").alias("_n"), F.xxhash64("source").alias("_h"))
-    one = s.groupBy("repo_id", "file_path").agg(F.max(F.struct("_n", "_h")).alias("_x"), F.count("*").alias("_c"))
-    alone, again = one.where("_c = 1").select("repo_id", "file_path"), one.where("_c > 1").select("repo_id", "file_path", F.col("_x._n").alias("_n"), F.col("_x._h").alias("_h"))
-    first = s.join(alone, ["repo_id", "file_path"], "left_semi").drop("_n", "_h")
-    rest = s.join(again, ["repo_id", "file_path", "_n", "_h"], "left_semi").dropDuplicates(["repo_id", "file_path"]).drop("_n", "_h")
-    return first.unionByName(rest).withColumn("language", paths.language(F.col("file_path")))
+    s = table(spark, d, "sources").select("repo_id", "file_path", "source")
+    size, digest = F.octet_length("source"), F.xxhash64("source")
+    keys = ["repo_id", "file_path"]
+    # Few keys are there twice, so both joins are with a small table, which adaptive execution broadcasts where it is small.
+    again = s.groupBy(*keys).agg(F.max(F.struct(size.alias("n"), digest.alias("h"))).alias("_x"), F.count("*").alias("_c")).where("_c > 1").select(*keys, F.col("_x.n").alias("_n"), F.col("_x.h").alias("_h"))
+    again = cut_lineage(again)
+    rest = s.join(again, keys).where((size == F.col("_n")) & (digest == F.col("_h"))).dropDuplicates(keys).drop("_n", "_h")
+    return s.join(again, keys, "left_anti").unionByName(rest).withColumn("language", paths.language(F.col("file_path")))
 
 
 def _go_modules(files):
