@@ -86,3 +86,21 @@ def test_ties_go_to_the_smaller_id(spark):
 
 def test_empty(spark):
     assert neighbours.pairs(neighbours.usable(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_alike_vectors_are_only_compared_within_reach(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(60, 48))
+    x = np.concatenate([np.repeat(centre, 14, axis=0) + 0.2 * rng.normal(size=(840, 48)), rng.normal(size=(20, 48))]).astype("f4")
+    ids = rng.permutation(len(x)).tolist()
+    df = spark.createDataFrame([(i, "m", r.tolist()) for i, r in zip(ids, x)], "vec_no long, model string, vector array<float>")
+    unit = df.select("vec_no", "model", F.size("vector").alias("dims"), "vector")
+    sizes = unit.groupBy("model", "dims").agg(F.count("*").alias("n"))
+    groups = neighbours.groups(unit, neighbours.leaders(unit, sizes), 5).cache()
+    open_ = groups.where("reach IS NULL").agg(F.sum("n")).first()[0]
+    # Only what is alike nothing, and a few that the cells missed, are compared with all.
+    assert groups.agg(F.sum("n")).first()[0] == len(x) and 20 <= open_ < 60
+    assert neighbours.touching(groups).count() < 60
+    got = {(r["vec_no"], r["neighbour"]) for r in neighbours.nearest(df, 5).collect()}
+    assert got == brute(x, ids, 5)
+    assert {tuple(r) for r in neighbours.pairs(df, 5).collect()} == {(min(p), max(p)) for p in got}
