@@ -94,3 +94,33 @@ def test_signs_are_weighed_by_what_the_data_tell(spark):
     share, weights = truncation.fitted(spark.createDataFrame(rows, schema))["s", "en"]
     assert weights["mark"][0] > 4 and weights["pile"][0] > 2.5 and abs(weights["fence"][0]) < 0.5 and abs(share - 0.1) < 0.05
     assert weights["mark"][1] < 0 and truncation.fitted(spark.createDataFrame([], schema)) == {}
+
+
+def test_marks_after_common_words_stay_marks(spark):
+    r = random.Random(11)
+
+    def some(n):
+        return " ".join(r.choice(FORMS).format(*r.choices(NOUNS, k=3)) for _ in range(n))
+
+    rows, cut, phrase = [], set(), set()
+    for i in range(3000):
+        t, source = some(4), ("snippets", "issues")[i % 2]
+        if i % 2 == 0 and i % 16 == 0:
+            words = some(6).split()
+            t = " ".join(words[: r.randrange(25, 45)]).rstrip(".")
+            t += ("...", " [truncated]")[i % 32 == 0]
+            cut.add(i)
+        elif i % 20 == 1:
+            t += f"\n\nStill waiting for the {r.choice(NOUNS[:3])}..."
+            phrase.add(i)
+        rows.append((i, t, "en", source, "x", 1))
+    got = {x["doc_id"] for x in truncation.truncated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got & cut) > 0.9 * len(cut) and len(got & phrase) < 0.1 * len(phrase)
+
+
+def test_cuts_without_the_sign_of_their_source(spark, monkeypatch):
+    schema = "doc_id int, source string, lang string, ratio double, mark boolean, broken boolean, fence boolean, pile boolean"
+    rows = [(i, "s", "en", 50.0 if i % 10 == 0 else 0.02, False, False, False, i % 10 == 0) for i in range(4000)] + [(9000, "s", "en", 50.0, False, False, False, False)]
+    monkeypatch.setattr(truncation, "scored", lambda *_: spark.createDataFrame(rows, schema))
+    got = {r["doc_id"] for r in truncation.truncated(spark.createDataFrame([], SCHEMA)).collect()}
+    assert got == {i for i in range(0, 4000, 10)} | {9000}
